@@ -26,6 +26,7 @@ KINDS = ("prose", "list", "table", "junk")
 TRAINING_TEXTS = 12_000
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+DIGIT = re.compile(r"\d")
 TAG = re.compile(r"</?[a-zA-Z][^<>]{0,40}>")
 CELL_TAG = re.compile(r"</?(?:table|tr|td|th)\b", re.I)
 MARKER = re.compile(r"^\s*(?:[-*•–—‣◦]\s+|\d{1,4}[.)]\s+|\([a-z0-9]{1,4}\)\s+|[a-z][.)]\s+|\[[ xX]?\]\s*)")
@@ -33,7 +34,8 @@ GAP = re.compile(r"\S(?: {2,}|\t+)(?=\S)")
 BLANKS = re.compile(r"(?<=\S) +(?=\S)")
 #: A token of letters or of digits or a sheet key, with plain punctuation around.
 INTACT = re.compile(r"^[(\[\"'„“«]*(?:[^\W\d_]+(?:[-'’/][^\W\d_]+)*|[0-9]+(?:[.,:;][0-9]+)*|[A-Za-z]{2,4}_[0-9]{1,3}[A-Za-z]{0,4})[)\]\"'”“».,;:!?…]*$")
-SENTENCE_END = re.compile(r"[.!?…][\"'”»)\]]*\s*$")
+_ENDS = frozenset(".!?…")
+_INVISIBLE = (("\xa0", " "), ("\u200b", ""), ("\u200d", ""), ("\xad", ""), ("\ufeff", ""))
 STOP = re.compile(r"[.!?…]+(?:\s|$)")
 CODE = re.compile(r"^[A-Za-z0-9+/=_\-]{28,}$")
 SEPARATORS = (" / ", "; ", ", ", " | ", " · ", " – ")
@@ -56,86 +58,143 @@ def _cells(line: str) -> tuple[str, int]:
     return best
 
 
+def _classes() -> np.ndarray:
+    """Flags of each character of the basic plane: letter, digit, odd, vowel, white space, plain punctuation."""
+    table = np.zeros(65536, dtype=np.uint8)
+    odd, vowels, plain = set("ÃÂ\ufffd¤¬§#~^|\\<>{}*_"), set("aeiouyäöüAEIOUYÄÖÜéèêàóęą"), set(".,;:!?'\"()-")
+    for code in range(65536):
+        c = chr(code)
+        table[code] = c.isalpha() + 2 * c.isdigit() + 4 * (c in odd or 0x80 <= code < 0xA0) + 8 * (c in vowels) + 16 * c.isspace() + 32 * (c in plain)
+    return table
+
+
+_CLASSES = _classes()
+_BITS = np.array([[(f >> b) & 1 for b in range(6)] for f in range(64)])
+_AROUND = "([\"'„“«)]”».,;:!?…"
+_CLOSING = " \t\"'”»)]"
+
+
+class _Intact(dict):
+    """Whether a token is letters or digits or a sheet key, with plain punctuation around; looked up once, within bounds."""
+
+    def __missing__(self, token: str) -> bool:
+        t = token.strip(_AROUND)
+        found = not t or t.isalpha() or t.isdigit() or INTACT.match(token) is not None
+        if len(token) <= 40:
+            if len(self) >= 100_000:
+                self.clear()
+            self[token] = found
+        return found
+
+
+_intact = _Intact().__getitem__
+
+
 def statistics(text: str | None, common: frozenset[str]) -> list[float] | None:
     """The figures named in ``NAMES``; None for null and blank texts."""
-    if text is None or not text.strip(" \t\r\n﻿​‍\xa0"):
+    if text is None or not text.strip(" \t\r\n\ufeff\u200b\u200d\xa0"):
         return None
-    tags = len(CELL_TAG.findall(text))
-    plain = text if "<" not in text else TAG.sub(" " if not tags else "", text)
+    tags, plain = 0, text
+    if "<" in text:
+        tags = len(CELL_TAG.findall(text))
+        plain = TAG.sub("" if tags else " ", text)
     if "&" in plain:
         plain = html.unescape(plain)
-    plain = plain.replace("\xa0", " ").replace("‍", "").replace("​", "").replace("\xad", "").replace("﻿", "")
-    blanks = [len(b) for b in BLANKS.findall(plain)]
-    if len(blanks) >= 8 and sum(b == 2 for b in blanks) >= 0.9 * len(blanks):  # every blank was doubled: no columns
-        plain = plain.replace("  ", " ")
-    raw = [x for x in text.splitlines() if x.strip()]
-    lines = [x for x in (re.sub(r"^\s*>+ ?", "", y.rstrip()) for y in plain.splitlines()) if x.strip()] or [" "]
-    words = WORD.findall(plain)
-    low = [w.lower() for w in words]
-    n_words, n_lines = len(words), len(lines)
-    tokens = plain.split()
-    dense = len("".join(tokens)) or 1
-    letters = sum(map(len, words))
-    digits = sum(c.isdigit() for c in plain)
-    odd = sum(c in "ÃÂ�¤¬§#~^|\\<>{}*_" or ord(c) in range(0x80, 0xA0) for c in plain)
-    symbols = dense - letters - digits - sum(plain.count(c) for c in ".,;:!?'\"()-")
-    counts = Counter(x.strip() for x in lines)
+    for mark, stand_in in _INVISIBLE:
+        if mark in plain:
+            plain = plain.replace(mark, stand_in)
+    if "  " in plain:
+        blanks = [len(b) for b in BLANKS.findall(plain)]
+        if len(blanks) >= 8 and sum(b == 2 for b in blanks) >= 0.9 * len(blanks):  # every blank was doubled: no columns
+            plain = plain.replace("  ", " ")
+    raw_dense = len("".join(text.split())) if plain is not text else 0
+    lines, block_of, blocks = [], [], 0
+    for x in plain.splitlines():
+        if x[:1] in " >" and x.lstrip().startswith(">"):
+            x = re.sub(r"^\s*>+ ?", "", x)
+        if x.strip():
+            lines.append(x.rstrip())
+            block_of.append(blocks)
+        else:
+            blocks += 1
+    if not lines:
+        lines, block_of = [" "], [0]
+    n_lines = len(lines)
+    line_words = [WORD.findall(x) for x in lines]
+    line_tokens = [x.split() for x in lines]
+    words = [w for ws in line_words for w in ws]
+    tokens = [t for ts in line_tokens for t in ts]
+    n_words = len(words)
+    forms = Counter(words)
+    word_counts: Counter[str] = Counter()
+    common_forms, capitals = set(), 0
+    for w, n in forms.items():
+        lower = w.lower()
+        word_counts[lower] += n
+        if lower in common:
+            common_forms.add(w)
+        if w[0].isupper():
+            capitals += n
+    known = common_forms.__contains__
+    common_in = [sum(map(known, ws)) for ws in line_words]
+    n_common = sum(common_in)
+    letters_in = [len("".join(ws)) for ws in line_words]
+    dense_in = [len("".join(ts)) for ts in line_tokens]
+    letters, dense = sum(letters_in), sum(dense_in) or 1
+    codes = np.frombuffer(plain.encode("utf-32-le", "replace"), dtype=np.uint32)
+    flags = np.bincount(_CLASSES[np.minimum(codes, 65535)], minlength=64) @ _BITS
+    digits, odd, vowels, punctuation = (int(flags[k]) for k in (1, 2, 3, 5))
+    symbols = dense - letters - digits - punctuation
+    counts = Counter(lines)
     delimiters = [_cells(x) for x in lines]
     shape = Counter(d for d in delimiters if d[1] >= 1)
     agreed = shape.most_common(1)[0] if shape else (("", 0), 0)
-    gaps = [len(GAP.findall(x)) for x in lines]
-    marked = [bool(MARKER.match(x)) for x in lines]
-    ended = [bool(SENTENCE_END.search(x)) for x in lines]
-    line_words = [WORD.findall(x) for x in lines]
-    common_in = [sum(w.lower() in common for w in ws) for ws in line_words]
-    n_common = sum(common_in)
-    sentences = [len(WORD.findall(x)) for x in STOP.split(plain)]
-    word_counts = Counter(low)
-    repeated = n_lines >= 4 and counts.most_common(1)[0][1] >= 0.5 * n_lines
+    gaps = [len(GAP.findall(x)) if "  " in x or "\t" in x else 0 for x in lines]
+    marked = [MARKER.match(x) is not None for x in lines]
+    ended = [x.rstrip(_CLOSING)[-1:] in _ENDS for x in lines]
+    stops_in = [len(STOP.findall(x)) for x in lines]
+    repeated = n_lines >= 4 and max(counts.values()) >= 0.5 * n_lines
     few_words = n_words >= 20 and len(word_counts) <= 6
-    short_words = sum(len(w) <= 2 for w in words)
+    short_words = sum(n for w, n in word_counts.items() if len(w) <= 2)
     # a heap of words: none of the small words that hold sentences together
     heap = n_words >= 12 and n_common == 0 and short_words <= 0.02 * n_words
     # lines of a paragraph that has a sentence end every few words are wrapped, not entries
-    wrapped, block, flowing = [], [], []
-    for x in plain.splitlines() + [""]:
-        if x.strip():
-            block.append(x)
-            continue
-        joined = " ".join(block)
-        n_block = len(WORD.findall(joined))
-        stops = len(STOP.findall(joined))
-        flowing += [stops > 0 and n_block <= 30 * stops and len(block) > 1] * len(block)
-        block = []
-    wrapped = flowing if len(flowing) == n_lines else [False] * n_lines
+    block_words, block_stops, block_lines = [0] * (blocks + 1), [0] * (blocks + 1), [0] * (blocks + 1)
+    for k, ws, stops in zip(block_of, line_words, stops_in):
+        block_words[k] += len(ws)
+        block_stops[k] += stops
+        block_lines[k] += 1
+    flowing = [n > 1 and stops > 0 and ws <= 30 * stops for n, ws, stops in zip(block_lines, block_words, block_stops)]
     aligned = sum(g >= 2 for g in gaps) >= 0.7 * n_lines and n_common < 0.15 * n_words + 1
     part = dict.fromkeys(KINDS, 0.0)
-    entries_words, separators = 0.0, 0
-    parts_seen = 0
-    for x, (mark, cells), gap, is_marked, is_ended, is_wrapped, ws, k in zip(lines, delimiters, gaps, marked, ended, wrapped, line_words, common_in):
+    entries_words, separators, parts_seen, code_size = 0.0, 0, 0, 0
+    for x, (mark, cells), gap, is_marked, is_ended, block, ws, ts, k, letter_sum, body in zip(lines, delimiters, gaps, marked, ended, block_of, line_words, line_tokens, common_in, letters_in, dense_in):
         size, kind = len(x), "prose"
-        body = "".join(x.split())
-        letters_here = sum(map(len, ws)) / (len(body) or 1)
+        letters_here = letter_sum / (body or 1)
         share = k / len(ws) if ws else 0.0
-        sep, count = max(((s, x.count(s)) for s in SEPARATORS), key=lambda p: p[1])
-        cut = [len(p.split()) for p in x.split(sep)] if count >= 3 else []
-        mean_entry = sum(cut) / len(cut) if cut else 0.0
-        if cut:
+        sep, count = "", 0
+        for mark_here in SEPARATORS:
+            n = x.count(mark_here)
+            if n > count:
+                sep, count = mark_here, n
+        mean_entry = 0.0
+        if count >= 3:
+            mean_entry = sum(len(p.split()) for p in x.split(sep)) / (count + 1)
             entries_words, separators, parts_seen = entries_words + mean_entry, separators + count, parts_seen + 1
-        tabular = cells >= 2 and agreed[0] == (mark, cells) and agreed[1] >= max(3, 0.6 * n_lines)
-        if not tokens:
+        coded = body >= 28 and len(ts) <= 2 and all(CODE.match(t) for t in ts)
+        code_size += body if coded else 0
+        digits_here = len(DIGIT.findall(x)) if letters_here < 0.72 and size >= 12 else 0
+        if not ts:
             kind, size = "junk", 1
-        elif tags >= 4 or tabular:
+        elif tags >= 4 or (cells >= 2 and agreed[0] == (mark, cells) and agreed[1] >= max(3, 0.6 * n_lines)):
             kind = "table"
         elif gap >= 1 and n_lines >= 3 and aligned and share < 0.2:
             kind = "table"
-        elif (repeated and counts[x.strip()] > 1) or few_words:
-            kind = "junk"
-        elif len(x.split()) <= 2 and all(CODE.match(t) for t in x.split()) and (len(body) >= 28):
+        elif (repeated and counts[x] > 1) or few_words or coded:
             kind = "junk"
-        elif size >= 24 and letters_here < 0.72 and not is_marked and sum(c.isdigit() for c in x) < 0.3 * size and sum(bool(INTACT.match(y)) for y in x.split()) < 0.35 * len(x.split()):
+        elif size >= 24 and letters_here < 0.72 and not is_marked and digits_here < 0.3 * size and sum(map(_intact, ts)) < 0.35 * len(ts):
             kind = "junk"
-        elif size >= 12 and letters_here < 0.55 and not is_marked and sum(c.isdigit() for c in x) < 0.3 * size:
+        elif size >= 12 and letters_here < 0.55 and not is_marked and digits_here < 0.3 * size:
             kind = "junk"
         elif is_marked and len(ws) <= 12 and not (is_ended and share > 0.2 and len(ws) > 6):
             kind = "list"
@@ -143,20 +202,22 @@ def statistics(text: str | None, common: frozenset[str]) -> list[float] | None:
             kind = "list"
         elif heap and len(ws) >= 4:
             kind = "junk"
-        elif len(ws) <= 7 and not is_ended and share < 0.3 and n_lines >= 3 and not is_wrapped:
+        elif len(ws) <= 7 and not is_ended and share < 0.3 and n_lines >= 3 and not flowing[block]:
             kind = "list"
         elif len(ws) >= 8 and share < 0.02 and not is_ended and n_common < 0.03 * n_words:
             kind = "junk"
         part[kind] += size
     whole = sum(part.values()) or 1.0
+    some = n_words or 1
     return [
-        math.log1p(n_words), math.log1p(n_lines), letters / n_words if n_words else 0.0, n_words / n_lines, sum(ended) / n_lines,
-        n_common / n_words if n_words else 0.0, letters / dense, digits / dense, max(0, symbols) / dense, odd / dense,
-        sum(d[1] >= 2 for d in delimiters) / n_lines, agreed[1] / n_lines if agreed[0][1] >= 2 else 0.0, tags / max(1, len(raw)), sum(g >= 2 for g in gaps) / n_lines, sum(marked) / n_lines,
-        sum(len(ws) <= 6 and not e for ws, e in zip(line_words, ended)) / n_lines, len(counts) / n_lines, len(word_counts) / n_words if n_words else 0.0, math.log1p(max(map(len, tokens), default=0)),
-        sum(len(t) for t in tokens if CODE.match(t)) / dense,
-        sum(w[0].isupper() for w in words) / n_words if n_words else 0.0, short_words / n_words if n_words else 0.0, 1 - dense / (sum(len(x) for x in text.split()) or 1), sum(bool(INTACT.match(y)) for y in tokens) / (len(tokens) or 1), min(60.0, max(sentences, default=0)), entries_words / parts_seen if parts_seen else 20.0, separators / (n_words + 1), word_counts.most_common(1)[0][1] / n_words if n_words else 0.0,
-        plain.upper().count("KDR_") / (len(tokens) or 1), sum(c in "aeiouyäöüAEIOUYÄÖÜéèêàóęą" for c in plain) / (letters or 1),
+        math.log1p(n_words), math.log1p(n_lines), letters / some, n_words / n_lines, sum(ended) / n_lines,
+        n_common / some, letters / dense, digits / dense, max(0, symbols) / dense, odd / dense,
+        sum(d[1] >= 2 for d in delimiters) / n_lines, agreed[1] / n_lines if agreed[0][1] >= 2 else 0.0, tags / n_lines, sum(g >= 2 for g in gaps) / n_lines, sum(marked) / n_lines,
+        sum(len(ws) <= 6 and not e for ws, e in zip(line_words, ended)) / n_lines, len(counts) / n_lines, len(word_counts) / some, math.log1p(max(map(len, tokens), default=0)),
+        code_size / dense,
+        capitals / some, short_words / some, max(0.0, 1 - dense / raw_dense) if raw_dense else 0.0, sum(map(_intact, tokens)) / (len(tokens) or 1), min(60.0, n_words / (1 + sum(stops_in))), entries_words / parts_seen if parts_seen else 20.0, separators / (n_words + 1),
+        max(word_counts.values(), default=0) / some,
+        plain.count("KDR_") / (len(tokens) or 1), vowels / (letters or 1),
         *[part[k] / whole for k in KINDS],
     ]
 
