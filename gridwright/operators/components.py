@@ -17,22 +17,25 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     gives an empty one. Both ends must have one sortable type.
     """
     ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
-    nodes = ends.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    labels = cut_lineage(nodes.select("node", F.col("node").alias("component")))
-    links = cut_lineage(ends.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    for _ in range(max_rounds):
-        if links.isEmpty():
-            return labels
+    ends = cut_lineage(ends.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    loops = ends.where("u = v").select(F.col("u").alias("at"), F.col("u").alias("to"))
+    links, steps = ends.where("u <> v"), []
+    while not links.isEmpty():
+        if len(steps) >= max_rounds:
+            raise RuntimeError(f"components not settled after {max_rounds} rounds")
         both = links.union(links.select("v", "u"))
         points = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("at"), F.least("u", "v").alias("to"))
-        points = cut_lineage(points)
-        for _ in range(3):  # each jump doubles the distance followed
+        for _ in range(2):  # each jump doubles the distance followed
             next_hop = points.select(F.col("at").alias("to"), F.col("to").alias("further"))
             points = points.join(next_hop, "to", "left").select("at", F.coalesce("further", "to").alias("to"))
         points = cut_lineage(points)
+        steps.append(points)
         moved = links.join(points.select(F.col("at").alias("u"), F.col("to").alias("u2")), "u").join(points.select(F.col("at").alias("v"), F.col("to").alias("v2")), "v")
         moved = moved.where("u2 <> v2").select(F.least("u2", "v2").alias("u"), F.greatest("u2", "v2").alias("v")).distinct()
-        target = points.select(F.col("at").alias("component"), F.col("to").alias("_to"))
-        labels = cut_lineage(labels.join(target, "component", "left").select("node", F.coalesce("_to", "component").alias("component")))
         links = cut_lineage(moved)
-    raise RuntimeError(f"components not settled after {max_rounds} rounds")
+    # a node's way goes through the rounds; a loop's node may have other links, which then count
+    labels = steps[0].union(loops).groupBy("at").agg(F.min("to").alias("to")) if steps else loops
+    for points in steps[1:]:
+        further = points.select(F.col("at").alias("to"), F.col("to").alias("further"))
+        labels = labels.join(further, "to", "left").select("at", F.coalesce("further", "to").alias("to"))
+    return cut_lineage(labels.select(F.col("at").alias("node"), F.col("to").alias("component")))
