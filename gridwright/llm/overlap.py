@@ -152,8 +152,8 @@ def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     rows = normalised(records)
     fields = ["run_id", "key", "city", "year", "ul_x", "ul_y", "lr_x", "lr_y"]
-    rows = cut_lineage(rows.withColumn("same", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in fields])))
-    # a pair of 64-bit digests of the fields stands for them; the run keeps unrelated records apart
+    rows = rows.withColumn("same", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in fields]))
+    # a 64-bit digest of the fields stands for them; the run, kept beside it, parts the rare records whose digests collide
     nodes = rows.groupBy("run_id", "same").agg(F.min("record_id").alias("node"), *[F.first(c).alias(c) for c in fields if c != "run_id"])
     nodes = nodes.where("key is not null and run_id is not null").withColumn("text", record_text())
     nodes = add_chunks(nodes.select("run_id", "node", *fields[1:], "text"), "text")
