@@ -156,7 +156,7 @@ def cells_and_report(tasks: DataFrame, targets: DataFrame, seed: int = 1) -> tup
         total = round(float(ends[-1])) if len(ends) else 0
         if len(ends):
             ends[-1] = total
-        starts = np.concatenate([[0.0], ends[:-1]])
+        starts = np.concatenate([[0.0], ends[:-1]])[: len(ends)]
         u = random_start(seed, key[0])
         first = np.floor(ends + u) - np.floor(starts + u)
         drawn = repair(np.minimum(first, counts), counts, codes, floors, targets)
