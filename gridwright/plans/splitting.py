@@ -116,7 +116,6 @@ def oracle_sql() -> dict[str, str]:
             (SELECT q FROM qs WHERE qs.component = c.component ORDER BY n DESC, q LIMIT 1) AS region_mode FROM (SELECT DISTINCT component FROM comp) c""",
         "leakage_audit": f"""WITH {_POOL}, {_EDGES}, s AS (SELECT row_id, CASE WHEN label < 6 THEN 'train' WHEN label < 8 THEN 'val' ELSE 'test' END AS split FROM pool)
             SELECT concat(least(x.split, y.split), '-', greatest(x.split, y.split)) AS pair_type, count(*) AS violations, round(min(edge_km), 6) AS min_edge_km FROM edges JOIN s x ON x.row_id = a JOIN s y ON y.row_id = b WHERE x.split <> y.split GROUP BY 1""",
-        "split_is_clean": "SELECT CAST(0 AS BIGINT) AS violations",
         "leakage_bins": f"WITH {_POOL}, {_PAIRS}, {_BINS} SELECT bin_start_km, bin_start_km + {WIDTH_KM} AS bin_end_km, n_pairs, round(mean_similarity, 6) AS mean_similarity, round(std_similarity, 6) AS std_similarity FROM bins",
         "leakage_calibration": f"""WITH {_POOL}, {_PAIRS}, {_BINS}, q AS (SELECT quantile_cont(edge_km, 0.75) AS far, quantile_cont(edge_km, 0.25) AS near FROM raw), l AS (SELECT avg(similarity) AS level FROM raw, q WHERE edge_km >= far),
             w AS (SELECT bin_start_km, max(mean_similarity) OVER v AS m, min(n_pairs) OVER v AS c, count(*) OVER v AS k FROM bins WINDOW v AS (ORDER BY bin_start_km ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),

@@ -28,7 +28,7 @@ def test_dbase(spark, tmp_path):
     body = b"".join((b"*" if k == 2 else b" ") + b"".join(v.encode("latin-1").ljust(w) for v, (_, w) in zip(r, fields)) for k, r in enumerate(rows))
     (tmp_path / "t.dbf").write_bytes(head + body)
     readers.register(spark)
-    got = spark.read.format("dbase3").option("path", str(tmp_path / "t.dbf")).option("recordsPerPartition", "2").load(str(tmp_path / "t.dbf")).collect()
+    got = spark.read.format("dbase3").option("recordsPerPartition", "2").load(str(tmp_path / "t.dbf")).collect()
     assert [(r.NAME, r.ORT) for r in got] == [("KDR_001", "Wölpe"), ("KDR_002", None)]
 
 
