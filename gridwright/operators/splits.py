@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,9 +73,9 @@ def component_facts(df: DataFrame, key: str, components: DataFrame, edges: list[
 def assign_components(facts: DataFrame, shares: tuple[float, float, float] = (0.7, 0.15, 0.15)) -> DataFrame:
     """Add ``split`` to each component: the largest first, each to the part with the smallest score.
 
-    The score is ten times the distance of the part's size from its target, with the component in it, plus how many
-    components of the same year mode and of the same region it has already; ties go to train, then val. The order matters,
-    so this is one task, over components, not rows.
+    The score is ten times the distance, in rows, of the part's size from its target, with the component in it, plus the
+    rows it already has in components of the same year mode and of the same region; ties go to train, then val. The order
+    matters, so this is one task, over components, not rows.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -86,11 +84,11 @@ def assign_components(facts: DataFrame, shares: tuple[float, float, float] = (0.
         sizes, years, regions = [0.0] * 3, [{}, {}, {}], [{}, {}, {}]
         out = []
         for row in group.itertuples(index=False):
-            score = [10 * abs((sizes[p] + row.size) / total - shares[p]) + years[p].get(row.year_mode, 0) + regions[p].get(row.region_mode, 0) for p in range(3)]
+            score = [10 * abs(sizes[p] + row.size - shares[p] * total) + years[p].get(row.year_mode, 0) + regions[p].get(row.region_mode, 0) for p in range(3)]
             p = min(range(3), key=lambda q: (round(score[q], 9), q))
             sizes[p] += row.size
-            years[p][row.year_mode] = years[p].get(row.year_mode, 0) + 1
-            regions[p][row.region_mode] = regions[p].get(row.region_mode, 0) + 1
+            years[p][row.year_mode] = years[p].get(row.year_mode, 0) + row.size
+            regions[p][row.region_mode] = regions[p].get(row.region_mode, 0) + row.size
             out.append(PARTS[p])
         return group.drop(columns="_one").assign(split=out)
 
@@ -145,7 +143,3 @@ def grouped_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
     sizes = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("name")).agg(F.count(F.lit(1)).alias("size"))
     found = sizes.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(run, "name string, size long, fold int")
     return found.select(F.col("name").alias(group), "size", "fold")
-
-
-def round_to(value: float, step: float) -> float:
-    return math.floor(value / step + 0.5) * step
