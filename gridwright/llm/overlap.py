@@ -124,20 +124,19 @@ def same_edition(a: str, b: str) -> Column:
     gap = F.when(x("ul_x").isNotNull() & y("ul_x").isNotNull(), gap)
     same_city = F.coalesce(x("city") == y("city"), F.lit(True))
     same_year = F.coalesce(x("year") == y("year"), F.lit(True))
-    sorted_digits = lambda c: F.array_sort(F.split(c.cast("string"), ""))
-    typed_year = (F.abs(x("year") - y("year")) <= 1) | (sorted_digits(x("year")) == sorted_digits(y("year")))
+    typed_year = (F.abs(x("year") - y("year")) <= 1) | (x("year_digits") == y("year_digits"))
     here = F.coalesce(gap <= NEAR, F.lit(False))
     not_far = F.coalesce(gap <= MOVED, F.lit(True))
-    by_key = (x("key") == y("key")) & same_city & ((same_year & not_far) | (typed_year & (here | gap.isNull())) | here)
-    number_of = lambda c: F.regexp_extract(c, "([0-9]+)", 1)
-    letters_of = lambda c: F.regexp_extract(c, "[0-9]+([A-Z]*)$", 1)
-    p, q = number_of(x("key")), number_of(y("key"))
-    swapped = F.lit(False)
-    for i in (1, 2):
-        swap = F.concat(F.substring(p, 1, i - 1), F.substring(p, i + 1, 1), F.substring(p, i, 1), F.expr("''") if i == 2 else F.substring(p, 3, 10))
-        swapped = swapped | (swap == q)
-    by_swap = (x("key") != y("key")) & swapped & (letters_of(x("key")) == letters_of(y("key"))) & same_city & same_year & here
-    return F.coalesce(by_key | by_swap, F.lit(False))
+    by_key = (x("key") == y("key")) & ((same_year & not_far) | (typed_year & gap.isNull()) | here)
+    by_swap = (x("key") != y("key")) & x("swaps").contains(F.concat(y("key"), F.lit(" "))) & same_year & here
+    return F.coalesce(same_city & (by_key | by_swap), F.lit(False))
+
+
+def with_swaps(nodes: DataFrame) -> DataFrame:
+    """Add what the check needs: the keys with two neighbouring digits swapped, and the digits of the year in order."""
+    p, q, r, rest = (F.substring("key", k, n) for k, n in ((5, 1), (6, 1), (7, 1), (8, 10)))
+    swaps = F.concat_ws(" ", F.concat(F.lit("KDR_"), q, p, r, rest), F.concat(F.lit("KDR_"), p, r, q, rest), F.lit(""))
+    return nodes.withColumn("swaps", swaps).withColumn("year_digits", F.array_join(F.array_sort(F.split(F.col("year").cast("string"), "")), ""))
 
 
 def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -155,15 +154,15 @@ def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("same", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in fields]))
     # a 64-bit digest of the fields stands for them; the run, kept beside it, parts the rare records whose digests collide
     nodes = rows.groupBy("run_id", "same").agg(F.min("record_id").alias("node"), *[F.first(c).alias(c) for c in fields if c != "run_id"])
-    nodes = nodes.where("key is not null and run_id is not null").withColumn("text", record_text())
-    nodes = add_chunks(nodes.select("run_id", "node", *fields[1:], "text"), "text")
+    nodes = with_swaps(nodes.where("key is not null and run_id is not null").withColumn("text", record_text()))
+    nodes = add_chunks(nodes.select("run_id", "node", *fields[1:], "swaps", "year_digits", "text"), "text")
     nodes = cut_lineage(nodes)
     # the first field is the key, the second the signature; short fields are one chunk unless the hash cuts them
     width = F.length("key")
     ends = F.transform(F.sequence(F.lit(1), F.size("lengths")), lambda i: F.aggregate(F.slice("lengths", 1, i), F.lit(0), lambda s, n: s + n))
     of_key = F.slice("digests", 1, F.size(F.filter(ends, lambda e: e <= width)))
     signature = F.xxhash64(F.lit("signature"), F.element_at(F.split("text", FIELD_END), 2))
-    packed = F.struct("node", "key", "city", "year", "ul_x", "ul_y", "lr_x", "lr_y", "digests", "lengths").alias("r")
+    packed = F.struct("node", "key", "city", "year", "ul_x", "ul_y", "lr_x", "lr_y", "swaps", "year_digits", "digests", "lengths").alias("r")
     anchors = nodes.select("run_id", F.explode(F.array(F.xxhash64(F.lit("key"), of_key), signature)).alias("digest"), packed)
     often = anchors.groupBy("run_id", "digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).drop("n")
     cool = anchors.join(often, ["run_id", "digest"], "left_anti")
