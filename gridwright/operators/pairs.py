@@ -7,11 +7,13 @@ for pools and selections; for large tables use a range join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.functions.geo import edge_km
-
 
 def pairs(df: DataFrame, key: str, columns: list[str], blocks: int = 8) -> DataFrame:
     """Each pair of different rows once, smaller key first: the columns with ``_a`` and ``_b`` behind. Null keys are left out."""
@@ -55,16 +57,73 @@ def check_weights(alpha: float, beta: float, gamma: float) -> None:
         raise ValueError("alpha + beta + gamma must be 1")
 
 
-def pool_pairs(pool: DataFrame, blocks: int = 8) -> DataFrame:
-    """``i, j`` and the raw distances: visual, spatial and edge in km, temporal in years; a missing year is the median one."""
+def block_pairs(df: DataFrame, key: str, columns: list[str], kernel: Callable[[pd.DataFrame, pd.DataFrame], dict[str, np.ndarray]], names: list[str], block_rows: int = 500) -> DataFrame:
+    """``i, j`` (i < j) and the matrices that ``kernel`` gives for all pairs of rows, block by block, in Arrow batches.
+
+    For what built-in functions are slow at, such as distances of long vectors: a task gets two blocks of about
+    ``block_rows`` rows and multiplies matrices. Null keys are left out; keys must be different.
+    """
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_key"), *[F.col(c) for c in columns])
+    blocks = max(1, -(-rows.count() // block_rows))
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64("_key"), F.lit(blocks)).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.withColumn("_pair", F.least("_block", "_other") * blocks + F.greatest("_block", "_other"))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        first = int(group["_block"].min())
+        a = group[group["_block"] == first].sort_values("_key", kind="stable").reset_index(drop=True)
+        b = group[group["_block"] != first].sort_values("_key", kind="stable").reset_index(drop=True)
+        pair = int(group["_pair"].iloc[0])
+        if pair // blocks == pair % blocks:
+            b, (r, c) = a, np.triu_indices(len(a), 1)
+        elif b.empty:  # one of the two blocks has no rows
+            return pd.DataFrame({n: [] for n in ["i", "j", *names]})
+        else:
+            r, c = (x.ravel() for x in np.indices((len(a), len(b))))
+        u, v = a["_key"].to_numpy()[r], b["_key"].to_numpy()[c]
+        return pd.DataFrame({"i": np.minimum(u, v), "j": np.maximum(u, v), **{n: m[r, c] for n, m in kernel(a, b).items()}})
+
+    schema = "i bigint, j bigint, " + ", ".join(f"{n} double" for n in names)
+    return rows.groupBy("_pair").applyInPandas(run, schema)
+
+
+def matrix(values: pd.Series) -> np.ndarray:
+    return np.stack(values.to_numpy()).astype(float)
+
+
+def euclidean_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all rows of two matrices; those near 0, where the product form loses digits, by differences."""
+    squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]
+    out = np.sqrt(np.maximum(squares - 2 * a @ b.T, 0.0))
+    for i, j in zip(*np.nonzero(out < 1e-3 * np.sqrt(squares + 1))):
+        out[i, j] = np.sqrt(((a[i] - b[j]) ** 2).sum())
+    return out
+
+
+def cosine_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    unit = lambda x: x / np.where((n := np.linalg.norm(x, axis=1)) == 0, 1.0, n)[:, None]
+    return np.clip(1 - unit(a) @ unit(b).T, 0.0, 1.0)
+
+
+def feature_pairs(df: DataFrame, key: str, features: list[str]) -> DataFrame:
+    """``i, j`` and the Euclidean distance by each of the feature columns, under its name."""
+    return block_pairs(df, key, features, lambda a, b: {f: euclidean_matrix(matrix(a[f]), matrix(b[f])) for f in features}, features)
+
+
+def pool_pairs(pool: DataFrame) -> DataFrame:
+    """``i, j`` and the raw distances: visual, cosine, spatial and edge in km, temporal in years; a missing year is the median one."""
     median = pool.agg(F.expr("percentile(year, 0.5)").alias("_median"))
     rows = pool.crossJoin(F.broadcast(median)).withColumn("year_known", F.coalesce("year", "_median").cast("double"))  # one row
-    met = pairs(rows, "row_id", ["features", "center_x", "center_y", "minx", "maxx", "miny", "maxy", "year_known"], blocks)
-    return met.select(
-        F.col("row_id_a").alias("i"), F.col("row_id_b").alias("j"), euclidean("features_a", "features_b").alias("visual"), cosine_distance("features_a", "features_b").alias("cosine"),
-        (F.hypot(F.col("center_x_a") - F.col("center_x_b"), F.col("center_y_a") - F.col("center_y_b")) / 1000.0).alias("spatial_km"), edge_km(box("_a"), box("_b")).alias("edge_km"),
-        F.abs(F.col("year_known_a") - F.col("year_known_b")).alias("years"),
-    )
+
+    def distances(a: pd.DataFrame, b: pd.DataFrame) -> dict[str, np.ndarray]:
+        apart = lambda c: a[c].to_numpy(dtype=float)[:, None] - b[c].to_numpy(dtype=float)[None, :]
+        gap = lambda low, high: np.maximum(np.maximum(a[low].to_numpy()[:, None] - b[high].to_numpy()[None, :], b[low].to_numpy()[None, :] - a[high].to_numpy()[:, None]), 0.0)
+        x, y = matrix(a["features"]), matrix(b["features"])
+        return {"visual": euclidean_matrix(x, y), "cosine": cosine_matrix(x, y), "spatial_km": np.hypot(apart("center_x"), apart("center_y")) / 1000,
+                "edge_km": np.hypot(gap("minx", "maxx"), gap("miny", "maxy")) / 1000, "years": np.abs(apart("year_known"))}
+
+    columns = ["features", "center_x", "center_y", "minx", "maxx", "miny", "maxy", "year_known"]
+    return block_pairs(rows, "row_id", columns, distances, ["visual", "cosine", "spatial_km", "edge_km", "years"])
 
 
 def unified(raw: DataFrame, alpha: float = 0.4, beta: float = 0.3, gamma: float = 0.3) -> DataFrame:

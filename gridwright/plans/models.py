@@ -53,18 +53,16 @@ def rand_index(spark: SparkSession, sf: str) -> DataFrame:
 
 def neighbor_ranks(spark: SparkSession, sf: str) -> DataFrame:
     """The three nearest candidates of each by features."""
-    met = pairs.pairs(candidate_pool(spark, sf), "row_id", ["features"])
-    d = F.round(pairs.euclidean("features_a", "features_b"), 9)
-    both = met.select(F.explode(F.array(F.struct(F.col("row_id_a").alias("i"), F.col("row_id_b").alias("j")), F.struct(F.col("row_id_b").alias("i"), F.col("row_id_a").alias("j")))).alias("p"), d.alias("d")).select("p.*", "d")
+    met = pairs.feature_pairs(candidate_pool(spark, sf), "row_id", ["features"]).withColumn("d", F.round("features", 9))
+    both = met.select("i", "j", "d").union(met.select("j", "i", "d"))
     return inference.neighbour_ranks(both, "i", "j", "d").where("rank <= 3").select("i", "j", "rank")
 
 
 def embedding_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Trustworthiness and continuity of the first eight features as an embedding."""
     df = candidate_pool(spark, sf).withColumn("small", F.slice("features", 1, 8))
-    met = pairs.pairs(df, "row_id", ["features", "small"])
-    high, low = F.round(pairs.euclidean("features_a", "features_b"), 9), F.round(pairs.euclidean("small_a", "small_b"), 9)
-    both = met.select(F.explode(F.array(F.struct(F.col("row_id_a").alias("i"), F.col("row_id_b").alias("j")), F.struct(F.col("row_id_b").alias("i"), F.col("row_id_a").alias("j")))).alias("p"), high.alias("high"), low.alias("low")).select("p.*", "high", "low")
+    met = pairs.feature_pairs(df, "row_id", ["features", "small"]).select("i", "j", F.round("features", 9).alias("high"), F.round("small", 9).alias("low"))
+    both = met.union(met.select("j", "i", "high", "low"))
     ranked = inference.neighbour_ranks(both, "i", "j", "high").withColumnRenamed("rank", "rank_high")
     ranked = inference.neighbour_ranks(ranked, "i", "j", "low").withColumnRenamed("rank", "rank_low")
     out = cluster.trustworthiness(ranked, 5, df.count())

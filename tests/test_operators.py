@@ -134,6 +134,18 @@ def test_pairs_are_each_once(spark):
     assert sorted(got) == [(a, b) for a in range(23) for b in range(a + 1, 23)]
 
 
+@pytest.mark.parametrize("block_rows", [500, 4])
+def test_distances_by_blocks(spark, block_rows):
+    rng = np.random.default_rng(5)
+    x = rng.random((17, 6))
+    x[3] = x[4] + 1e-9
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, [0.0] * 6)], "k long, f array<double>")
+    got = pairs.block_pairs(df, "k", ["f"], lambda a, b: {"d": pairs.euclidean_matrix(pairs.matrix(a["f"]), pairs.matrix(b["f"]))}, ["d"], block_rows).collect()
+    assert sorted((r.i, r.j) for r in got) == [(i, j) for i in range(17) for j in range(i + 1, 17)]
+    assert all(abs(r.d - np.linalg.norm(x[r.i] - x[r.j])) < 1e-12 for r in got)
+    assert pairs.feature_pairs(df.limit(0), "k", ["f"]).count() == 0
+
+
 def test_rules(spark):
     df = spark.createDataFrame([(1, "KDR_1", "a_Heide", 1890), (2, "KDR_2", None, None), (3, " kdr_3 ", "b", 1950)], "id int, short_name string, long_name string, year int")
     rules = {"constants": {"x": {"y": 1900}}, "rules": [
