@@ -40,7 +40,7 @@ SELECT pool, record_id,
   concat_ws('|',
     coalesce(CAST(TRY_CAST(floor(CASE WHEN year > 0 AND year < 1e6 THEN year END / {year_bin}) AS BIGINT) AS {string}), '-'),
     CASE WHEN lower(trim(coalesce(city, ''))) IN ({words}) THEN '-'
-      ELSE replace(replace(replace(replace(replace(replace(lower(trim(city)), '_', ' '), '-', ' '), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss') END,
+      ELSE replace(replace(replace(replace(replace(replace(replace(replace(replace(lower(trim(city)), '_', ' '), '-', ' '), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue') END,
     coalesce(CAST(TRY_CAST(floor(CASE WHEN lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90 THEN lon END / {degree_bin}) AS BIGINT) AS {string}), '-'),
     coalesce(CAST(TRY_CAST(floor(CASE WHEN lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90 THEN lat END / {degree_bin}) AS BIGINT) AS {string}), '-')) AS cell,
   md5(concat(pool, ':', CAST(record_id AS {string}), ':{seed}')) AS draw
