@@ -74,8 +74,9 @@ def assign_components(facts: DataFrame, shares: tuple[float, float, float] = (0.
     """Add ``split`` to each component: the largest first, each to the part with the smallest score.
 
     The score is ten times the distance, in rows, of the part's size from its target, with the component in it, plus the
-    rows it already has in components of the same year mode and of the same region; ties go to train, then val. The order
-    matters, so this is one task, over components, not rows.
+    rows it already has in components of the same year mode and of the same region; ties go to train, then val. By this rule
+    small parts fill first, so many small components can leave train short of its share; for exact shares use
+    prefix sums as in the grouped splits. The order matters, so this is one task, over components, not rows.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
