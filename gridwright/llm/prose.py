@@ -409,14 +409,13 @@ def classify(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column(1).to_pylist()
-            there = [i for i, r in enumerate(rows) if r is not None]
-            kinds, chances = [None] * len(rows), [None] * len(rows)
-            if there:
-                p = spread.value.probabilities(np.array([rows[i] for i in there], dtype=float))
-                for i, k, c in zip(there, p.argmax(1), p.max(1)):
-                    kinds[i], chances[i] = KINDS[k], float(c)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kinds, pa.string()), pa.array(chances, pa.float64())], names=[id_col, "figures", "kind", "probability"])
+            known = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            kinds, chances = np.full(len(known), None, dtype=object), np.full(len(known), np.nan)
+            if known.any():
+                x = batch.column(1).drop_null().flatten().to_numpy(zero_copy_only=False).reshape(int(known.sum()), -1)
+                p = spread.value.probabilities(x)
+                kinds[known], chances[known] = np.array(KINDS, dtype=object)[p.argmax(1)], p.max(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kinds, pa.string()), pa.array(chances, pa.float64(), mask=~known)], names=[id_col, "figures", "kind", "probability"])
 
     return figures.select(id_col, "figures").mapInArrow(run, f"`{id_col}` {kind}, figures array<double>, kind string, probability double")
 
