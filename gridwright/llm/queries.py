@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwright.llm import diverse, encode, grouped_splits, overlap, packing, prose, sampling, survivor
+from gridwright.operators import splits
 from gridwright.session import table
 
 
@@ -43,11 +44,22 @@ def p3_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_audit(spark: SparkSession, sf: str) -> DataFrame:
-    """The recorded number of violations of each run beside the overlaps found."""
+    """The recorded violations of each run beside the pairs of different splits nearer than its distance, and beside the
+    overlaps found. Records without bounds are in no near pair."""
     members, _ = overlap.classes(table(spark, sf, "split_records"))
     found = overlap.cross_split_pairs(members).groupBy("run_id").agg(F.count_distinct("record_a", "record_b").alias("pairs_found"), F.count_distinct("held_id").alias("held_out_found"))
-    audits = table(spark, sf, "split_audits").select("run_id", F.col("violations_count").alias("recorded"))
-    return audits.join(found, "run_id", "left").select("run_id", "recorded", F.coalesce("pairs_found", F.lit(0)).alias("pairs_found"), F.coalesce("held_out_found", F.lit(0)).alias("held_out_found"))
+    audits = table(spark, sf, "split_audits").select("run_id", F.col("violations_count").alias("recorded"), "d_leak_km")
+    rows = overlap.normalised(table(spark, sf, "split_records")).join(audits.select("run_id", "d_leak_km"), "run_id").where("split is not null")
+    # runs are moved apart in the plane, so one grid serves them all
+    x = lambda c: F.col(c) + F.col("run_id") * 1e8
+    boxes = rows.select("record_id", "split", "run_id", "d_leak_km", x("ul_x").alias("minx"), x("lr_x").alias("maxx"), F.col("lr_y").alias("miny"), F.col("ul_y").alias("maxy"))
+    widest = audits.agg(F.max("d_leak_km")).first()[0] or 1e-3  # one number
+    near = splits.boxes_within(boxes, "record_id", widest, widest + 12.0)
+    side = lambda k: boxes.select(F.col("record_id").alias(k), F.col("split").alias(f"split_{k}"), "run_id", "d_leak_km")
+    met = near.join(side("a"), "a").join(side("b").drop("run_id", "d_leak_km"), "b").where("split_a <> split_b and edge_km < d_leak_km")
+    counts = met.groupBy("run_id").agg(F.count(F.lit(1)).alias("near_pairs"))
+    out = audits.join(found, "run_id", "left").join(counts, "run_id", "left")
+    return out.select("run_id", "recorded", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("near_pairs", "pairs_found", "held_out_found")])
 
 
 def p4_survivors(spark: SparkSession, sf: str) -> DataFrame:
