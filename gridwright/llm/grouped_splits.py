@@ -1,9 +1,9 @@
 """Train, validation and test parts that keep related records together, over a persisted table of components.
 
-Records that share an entity are linked through it; components of the links stay in one part. The table of components is
-kept from one call to the next: new links merge old components by pointer jumping over the contracted graph, so a call costs
-by what is new. A component keeps its part; new ones fill what the parts lack of their shares; a merge of components from
-different parts is put in quarantine instead of moving records that are in use.
+Records that share an entity are linked through it; components of the links stay in one part. What a call returns is kept and
+given to the next: new links merge old components by pointer jumping over the contracted graph. A component keeps its part,
+drawn or not, also if none of its old records come again; new ones fill what the parts, old records counted, lack of their
+shares; a merge of components from different parts is put in quarantine instead of moving records that are in use.
 """
 
 from __future__ import annotations
@@ -52,13 +52,20 @@ def component_table(items: DataFrame, before: DataFrame | None = None) -> DataFr
     return connected_components(links, "a", "b").select(F.col("node").alias("entity"), "component")
 
 
-def assign(items: DataFrame, part_of: dict[int, str] | None = None, before: DataFrame | None = None, shares: tuple[float, ...] = SHARES, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+def assign(
+    items: DataFrame, part_of: dict[int, str] | None = None, before: DataFrame | None = None, shares: tuple[float, ...] = SHARES, seed: int = 1, earlier: tuple[DataFrame, DataFrame, DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(items, components, table)`` for ``items`` with ``item, entities, value``.
 
     items: ``item, component, part``. components: ``component, first_item, items, values, part, state``, a row for each
     group; ``values`` is the sorted array of the different values its items start from, state is kept (all in one part
     already), new (none has a value) or quarantine (values differ), whose part is quarantine too. table: ``entity,
-    component``, to be written and given as ``before`` next time.
+    component``.
+
+    ``earlier`` is what the call before returned, written and read again: all three results then hold the old items too.
+    An old group keeps its part, whether it came from values or was drawn; it goes to quarantine if it is linked to a group
+    of another part or gets a value that stands for one. Old items count in the parts' sizes, and one given again counts as
+    it is now, but stays with its old group. ``before`` is a table alone: it links entities, and no part is known from it.
 
     ``part_of`` says which part a value stands for (each value for itself, if not given); a group whose values differ is in
     quarantine even where they stand for one part, as its items aren't together. New groups, in random order, fill the
@@ -66,23 +73,50 @@ def assign(items: DataFrame, part_of: dict[int, str] | None = None, before: Data
     lacks land where their first item does. Items without entities are groups of their own. Null items are left out; an
     item given twice counts twice in ``items``. An empty table gives empty ones.
     """
-    table = component_table(items, before)
     keyed = items.withColumn("entity", F.when(F.size("entities") >= 1, F.element_at("entities", 1)))
+    if earlier is not None:
+        old_items, old_groups, before = earlier
+        # an item given again links its old group to what it is of now
+        again = keyed.select("item", "entity").distinct().join(old_items.select("item", F.col("component").alias("_old")).distinct(), "item")
+        before = before.union(again.where("entity is not null").select("entity", "_old").distinct())
+    table = component_table(items, before)
     # a hot entity's items meet its one row: spread both over salts
     salts = 16
-    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = lambda df: df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     keyed = keyed.withColumn("_salt", F.pmod(F.hash("item"), F.lit(salts)))
-    members = keyed.join(salted, ["entity", "_salt"], "left")
-    members = members.select("item", "value", F.coalesce("component", F.concat(F.lit("item:"), F.col("item").cast("string"))).alias("component"))
+    members = keyed.join(spread(table), ["entity", "_salt"], "left")
+    alone = F.concat(F.lit("item:"), F.col("item").cast("string"))
+    if earlier is None:
+        members = members.select("item", "value", F.coalesce("component", alone).alias("component"))
+    else:
+        # an old group's name is one of its entities, or that of an item without any
+        moved = table.select(F.col("entity").alias("_old"), F.col("component").alias("_now"))
+        now = F.coalesce("_now", "_old")
+        back = again.where("entity is null").join(moved, "_old", "left").select("item", now.alias("_back"))
+        members = members.join(back, "item", "left").select("item", "value", F.coalesce("component", "_back", alone).alias("component"))
+        rest = old_items.join(items.select("item").distinct(), "item", "left_anti").select("item", F.col("component").alias("_old"), F.pmod(F.hash("item"), F.lit(salts)).alias("_salt"))
+        rest = rest.join(spread(moved), ["_old", "_salt"], "left")
+        members = members.union(rest.select("item", F.lit(None).cast(items.schema["value"].dataType), now))
     groups = members.groupBy("component").agg(F.min("item").alias("first_item"), F.count(F.lit(1)).alias("items"), F.array_sort(F.collect_set("value")).alias("values"))
-    part = F.element_at("values", 1).cast("string")
+    held = F.array().cast("array<string>")
+    if earlier is not None:
+        known = old_groups.join(moved, F.col("component") == F.col("_old"), "left").select(F.coalesce("_now", "component").alias("component"), "values", "part")
+        known = known.groupBy("component").agg(F.flatten(F.collect_set("values")).alias("_values"), F.collect_set("part").alias("_held"))
+        groups = groups.join(known, "component", "left").withColumn("values", F.array_sort(F.array_distinct(F.concat("values", F.coalesce("_values", F.expr("slice(values, 1, 0)"))))))
+        held = F.coalesce("_held", held)
+    groups = groups.select("component", "first_item", "items", "values", held.alias("_held"))
+    part = F.try_element_at("values", F.lit(1)).cast("string")
     if part_of is not None:
         named = F.lit(None).cast("string")
         for value, name in part_of.items():
-            named = F.when(F.element_at("values", 1) == value, name).otherwise(named)
+            named = F.when(F.try_element_at("values", F.lit(1)) == value, name).otherwise(named)
         part = named
-    groups = groups.withColumn("state", F.when(F.size("values") > 1, QUARANTINE).when(F.size("values") == 1, "kept").otherwise("new"))
-    groups = groups.withColumn("part", F.when(F.col("state") == QUARANTINE, QUARANTINE).when(F.col("state") == "kept", part))
+    # the part known from the value and those known from before: more than one contradict each other
+    held = F.array_distinct(F.array_compact(F.concat("_held", F.array(part))))
+    groups = groups.withColumn("_held", held)
+    apart = (F.size("values") > 1) | (F.size("_held") > 1) | F.array_contains("_held", QUARANTINE)
+    groups = groups.withColumn("state", F.when(apart, QUARANTINE).when((F.size("values") == 1) | (F.size("_held") == 1), "kept").otherwise("new"))
+    groups = groups.withColumn("part", F.when(F.col("state") == QUARANTINE, QUARANTINE).when(F.size("_held") == 1, F.try_element_at("_held", F.lit(1)))).drop("_held")
     groups = cut_lineage(groups)
     sizes = {r["part"]: r["items"] for r in groups.groupBy("part").agg(F.sum("items").alias("items")).collect() if r["part"] in (*PARTS, None)}
     total = sum(sizes.values())
@@ -96,6 +130,6 @@ def assign(items: DataFrame, part_of: dict[int, str] | None = None, before: Data
         chosen = F.when(F.col("_before") < end, name).otherwise(chosen)
     fresh = fresh.select("component", "first_item", "items", "values", chosen.alias("part"), "state")
     done = groups.where("part is not null").select("component", "first_item", "items", "values", "part", "state").union(fresh)
-    parts = done.select("component", "part").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    parts = spread(done.select("component", "part"))
     out = members.withColumn("_salt", F.pmod(F.hash("item"), F.lit(salts))).join(parts, ["component", "_salt"]).select("item", "component", "part")
     return out, done, table

@@ -125,3 +125,35 @@ def test_new_groups_fill_what_is_lacking(spark):
     assert items.groupBy("component").agg(F.count_distinct("part").alias("p")).where("p > 1").count() == 0
     empty = grouped_splits.assign(grouped_splits.patch_entities(df.limit(0)), grouped_splits.FOLD_PARTS)
     assert [x.count() for x in empty] == [0, 0, 0]
+
+
+def test_old_parts_hold_without_their_old_items(spark):
+    rows = [(i, f"KDR_{i // 4:03d}", f"KDR_{i // 4:03d}.png", 1 if i < 40 else None, "", "", "") for i in range(400)]
+    first = grouped_splits.assign(grouped_splits.patch_entities(spark.createDataFrame(rows, PATCHES)), grouped_splits.FOLD_PARTS)
+    was = {r.item: r.part for r in first[0].collect()}
+    sheets = {p: sorted({i // 4 for i in was if was[i] == p and i >= 40}) for p in grouped_splits.PARTS}
+    train, val, test = (sheets[p] for p in grouped_splits.PARTS)
+    # new patches only: of drawn sheets, of a new sheet, linking sheets of two parts and of one, and with a fold against the draw
+    new = [(1000 + k, f"KDR_{k:03d}", None, None) for k in (val[0], test[0], train[0])] + [(2000 + i, "KDR_900", None, None) for i in range(40)]
+    new += [(3001, f"KDR_{train[1]:03d}", f"KDR_{val[1]:03d}.png", None), (3002, f"KDR_{test[1]:03d}", f"KDR_{test[2]:03d}.png", None), (3003, f"KDR_{val[2]:03d}", None, 1), (3004, f"KDR_{val[3]:03d}", None, 4)]
+    # an item of the first call comes again
+    new += [(val[0] * 4, f"KDR_{val[0]:03d}", None, None), (test[3] * 4, None, None, None)]
+    batch = spark.createDataFrame([(*r, "", "", "") for r in new], PATCHES)
+    again = grouped_splits.assign(grouped_splits.patch_entities(batch), grouped_splits.FOLD_PARTS, earlier=first)
+    now = {r.item: r.part for r in again[0].collect()}
+    assert again[0].count() == len(now) == 400 + 47
+    out = {4 * k + i for k in (train[1], val[1], val[2]) for i in range(4)}
+    assert {i: now[i] for i in was if i not in out} == {i: was[i] for i in was if i not in out}
+    assert {now[i] for i in (*out, 3001, 3003)} == {"quarantine"}
+    assert (now[1000 + val[0]], now[1000 + test[0]], now[1000 + train[0]], now[3002], now[3004]) == ("val", "test", "train", "test", "val")
+    assert again[1].agg(F.sum("items")).first()[0] == 447 and len({now[i] for i in range(2000, 2040)}) == 1
+    third = grouped_splits.assign(grouped_splits.patch_entities(batch.limit(0)), grouped_splits.FOLD_PARTS, earlier=again)
+    assert {r.item: r.part for r in third[0].collect()} == now
+
+
+def test_old_items_count_in_what_is_lacking(spark):
+    first = grouped_splits.assign(grouped_splits.patch_entities(spark.createDataFrame([(i, f"KDR_{i // 4:03d}", None, 1, "", "", "") for i in range(120)], PATCHES)), grouped_splits.FOLD_PARTS)
+    batch = spark.createDataFrame([(i, f"KDR_{i // 4:03d}", None, None, "", "", "") for i in range(400, 480)], PATCHES)
+    items, _, _ = grouped_splits.assign(grouped_splits.patch_entities(batch), grouped_splits.FOLD_PARTS, earlier=first)
+    sizes = {r.part: r.n for r in items.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sizes["train"] == 120 and abs(sizes["val"] - 40) <= 4 and abs(sizes["test"] - 40) <= 4
