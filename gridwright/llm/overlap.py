@@ -2,9 +2,11 @@
 
 Each record becomes normalised text, field by field. A rolling hash of the text cuts it to chunks where its value says so,
 and at the ends of fields; what two records share shows as equal chunk digests, and the lengths of shared chunks sum to the
-part of a record that the other covers. Digests of the identifying fields are joined within a run; a digest in many records
-is joined together with the place, so it isn't dropped and doesn't pair everything with everything. Pairs so found are
-checked exactly, and linked records form classes: two records describe the same thing also if only a third shows it.
+part of a record that the other covers. Single chunks aren't joined: within a run, records meet by the digests of the whole
+key, by a signature of it (digits in order, letters, year) and by the digests of city and year together, which is all that
+the check can let through; a digest in many records is joined together with the place, so it isn't dropped and doesn't pair
+everything with everything. Pairs so found are checked exactly, and linked records form classes: two records describe the
+same thing also if only a third shows it.
 """
 
 from __future__ import annotations
@@ -117,7 +119,8 @@ def same_edition(a: str, b: str) -> Column:
 
     The same key, a city that doesn't contradict, and: the same year (or none) at places not far apart, or a year mistyped
     by one or by swapped digits at the same place. Or the same letters, year and place, and a number with two neighbouring
-    digits swapped.
+    digits swapped. Or the same city, year and place (all there), and a number that lacks one of the other's digits, or no
+    readable number on one side or both. Another digit means another sheet.
     """
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
     gap = F.greatest(*[F.abs(x(c) - y(c)) for c in ("ul_x", "ul_y", "lr_x", "lr_y")])
@@ -129,14 +132,19 @@ def same_edition(a: str, b: str) -> Column:
     not_far = F.coalesce(gap <= MOVED, F.lit(True))
     by_key = (x("key") == y("key")) & ((same_year & not_far) | (typed_year & gap.isNull()) | here)
     by_swap = (x("key") != y("key")) & x("swaps").contains(F.concat(y("key"), F.lit(" "))) & same_year & here
-    return F.coalesce(same_city & (by_key | by_swap), F.lit(False))
+    known = (x("city") == y("city")) & (x("year") == y("year")) & here
+    shorter = lambda p, q: p("dropped").contains(F.concat(q("key"), F.lit(" ")))
+    by_rest = known & (x("key").isNull() | y("key").isNull() | ((x("key") != y("key")) & (shorter(x, y) | shorter(y, x))))
+    return F.coalesce(same_city & (by_key | by_swap), F.lit(False)) | F.coalesce(by_rest, F.lit(False))
 
 
 def with_swaps(nodes: DataFrame) -> DataFrame:
-    """Add what the check needs: the keys with two neighbouring digits swapped, and the digits of the year in order."""
+    """Add what the check needs: the keys with two neighbouring digits swapped, those with a digit missing, and the digits of
+    the year in order."""
     p, q, r, rest = (F.substring("key", k, n) for k, n in ((5, 1), (6, 1), (7, 1), (8, 10)))
     swaps = F.concat_ws(" ", F.concat(F.lit("KDR_"), q, p, r, rest), F.concat(F.lit("KDR_"), p, r, q, rest), F.lit(""))
-    return nodes.withColumn("swaps", swaps).withColumn("year_digits", F.array_join(F.array_sort(F.split(F.col("year").cast("string"), "")), ""))
+    dropped = F.concat_ws(" ", *[F.concat(F.lit("KDR_0"), a, b, rest) for a, b in ((q, r), (p, r), (p, q))], F.lit(""))
+    return nodes.withColumn("swaps", swaps).withColumn("dropped", dropped).withColumn("year_digits", F.array_join(F.array_sort(F.split(F.col("year").cast("string"), "")), ""))
 
 
 def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -147,23 +155,27 @@ def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     the characters in shared chunks and the part of each record they cover.
 
     Exact copies (equal in all normalised fields) are one node, so a third of all rows being copies of one record costs one
-    row. Records without a key, and those without a run, match only exact copies of themselves; null ids are left out.
+    row. A record without a key, or with one that lacks a digit, goes with the key of the nearest record it so matches, so it
+    doesn't link two sheets; records without a run match only exact copies of themselves; null ids are left out.
     """
     rows = normalised(records)
     fields = ["run_id", "key", "city", "year", "ul_x", "ul_y", "lr_x", "lr_y"]
     rows = rows.withColumn("same", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in fields]))
     # a 64-bit digest of the fields stands for them; the run, kept beside it, parts the rare records whose digests collide
     nodes = rows.groupBy("run_id", "same").agg(F.min("record_id").alias("node"), *[F.first(c).alias(c) for c in fields if c != "run_id"])
-    nodes = with_swaps(nodes.where("key is not null and run_id is not null").withColumn("text", record_text()))
-    nodes = add_chunks(nodes.select("run_id", "node", *fields[1:], "swaps", "year_digits", "text"), "text")
+    nodes = with_swaps(nodes.where("run_id is not null").withColumn("text", record_text()))
+    nodes = add_chunks(nodes.select("run_id", "node", *fields[1:], "swaps", "dropped", "year_digits", "text"), "text")
     nodes = cut_lineage(nodes)
-    # the first field is the key, the second the signature; short fields are one chunk unless the hash cuts them
-    width = F.length("key")
+    # the fields are key, signature, city, year and bounds; short fields are one chunk unless the hash cuts them
+    part = F.split("text", FIELD_END)
     ends = F.transform(F.sequence(F.lit(1), F.size("lengths")), lambda i: F.aggregate(F.slice("lengths", 1, i), F.lit(0), lambda s, n: s + n))
-    of_key = F.slice("digests", 1, F.size(F.filter(ends, lambda e: e <= width)))
-    signature = F.xxhash64(F.lit("signature"), F.element_at(F.split("text", FIELD_END), 2))
-    packed = F.struct("node", "key", "city", "year", "ul_x", "ul_y", "lr_x", "lr_y", "swaps", "year_digits", "digests", "lengths").alias("r")
-    anchors = nodes.select("run_id", F.explode(F.array(F.xxhash64(F.lit("key"), of_key), signature)).alias("digest"), packed)
+    upto = lambda k: F.size(F.filter(ends, lambda e: e <= sum((F.length(F.element_at(part, i)) for i in range(1, k + 1)), F.lit(0))))
+    of_key, of_rest = F.slice("digests", 1, upto(1)), F.slice("digests", upto(2) + 1, upto(4) - upto(2))
+    keyed = F.col("key").isNotNull()
+    by_key, signature = F.when(keyed, F.xxhash64(F.lit("key"), of_key)), F.when(keyed, F.xxhash64(F.lit("signature"), F.element_at(part, 2)))
+    rest = F.when(F.expr("city is not null and year is not null and ul_x is not null and ul_y is not null"), F.xxhash64(F.lit("rest"), of_rest))
+    packed = F.struct("node", "key", "city", "year", "ul_x", "ul_y", "lr_x", "lr_y", "swaps", "dropped", "year_digits").alias("r")
+    anchors = nodes.select("run_id", F.explode(F.array_compact(F.array(by_key, signature, rest))).alias("digest"), packed)
     often = anchors.groupBy("run_id", "digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).drop("n")
     cool = anchors.join(often, ["run_id", "digest"], "left_anti")
     pairs = cool.alias("l").join(cool.alias("m"), (F.col("l.run_id") == F.col("m.run_id")) & (F.col("l.digest") == F.col("m.digest")) & (F.col("l.r.node") < F.col("m.r.node")))
@@ -181,10 +193,11 @@ def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = F.col("l.r.node") < F.col("m.r.node")
     hot_pairs = hot_pairs.select(F.when(first, F.col("l.r")).otherwise(F.col("m.r")).alias("x"), F.when(first, F.col("m.r")).otherwise(F.col("l.r")).alias("y"))
     pairs = pairs.union(hot_pairs).where(same_edition("x", "y"))
-    shared = F.aggregate(F.filter(F.arrays_zip("x.digests", "x.lengths"), lambda c: F.array_contains("y.digests", c["digests"])), F.lit(0), lambda s, c: s + c["lengths"])
-    total = lambda side: F.aggregate(f"{side}.lengths", F.lit(0), lambda s, n: s + n)
-    links = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), shared.alias("shared"), (shared / total("x")).alias("share_a"), (shared / total("y")).alias("share_b")).dropDuplicates(["a", "b"])
-    links = cut_lineage(links)
+    gap = F.greatest(*[F.abs(F.col(f"x.{c}") - F.col(f"y.{c}")) for c in ("ul_x", "ul_y", "lr_x", "lr_y")])
+    is_in = lambda key, kind, side: F.coalesce(F.col(f"{side}.{kind}").contains(F.concat(F.col(f"{key}.key"), F.lit(" "))), F.lit(False))
+    weak = lambda p, q: F.col(f"{p}.key").isNull() | (F.coalesce(F.col("x.key") != F.col("y.key"), F.lit(False)) & is_in(p, "dropped", q) & ~is_in(p, "swaps", q))
+    links = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.key").alias("key_a"), F.col("y.key").alias("key_b"), weak("x", "y").alias("weak_a"), weak("y", "x").alias("weak_b"), gap.alias("gap")).dropDuplicates(["a", "b"])
+    links = _without_bridges(cut_lineage(links)).select("a", "b")
     found = connected_components(links, "a", "b")
     node_of = rows.groupBy("run_id", "same").agg(F.min("record_id").alias("node"))
     rooted = node_of.join(found, "node", "left").select("run_id", "same", "node", F.coalesce("component", "node").alias("class_id"))
@@ -193,9 +206,27 @@ def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = rows.withColumn("_salt", F.pmod(F.hash("record_id"), F.lit(salts)))
     same = members["run_id"].eqNullSafe(rooted["run_id"]) & (members["same"] == rooted["same"]) & (members["_salt"] == rooted["_salt"])
     members = members.join(rooted, same).select("record_id", members["run_id"], "split", "source", "node", "class_id", "key", "ul_x", "ul_y", "lr_x", "lr_y")
+    sides = [nodes.select(F.col("node").alias(k), F.col("digests").alias(f"_digests_{k}"), F.col("lengths").alias(f"_lengths_{k}")) for k in ("a", "b")]
+    shared = F.aggregate(F.filter(F.arrays_zip("_digests_a", "_lengths_a"), lambda c: F.array_contains("_digests_b", c["_digests_a"])), F.lit(0), lambda s, c: s + c["_lengths_a"])
+    total = lambda k: F.aggregate(f"_lengths_{k}", F.lit(0), lambda s, n: s + n)
+    links = links.join(sides[0], "a").join(sides[1], "b").select("a", "b", shared.alias("shared"), (shared / total("a")).alias("share_a"), (shared / total("b")).alias("share_b"))
     return members, links
 
 
+def _without_bridges(links: DataFrame) -> DataFrame:
+    """Links (``a, b, key_a, key_b, weak_a, weak_b, gap``) without those of a weak node, whose key is missing or lacks a digit, to
+    nodes of another key than its nearest's."""
+    one = links.where("weak_a <> weak_b")
+    if one.isEmpty():
+        return links
+    near = one.select(F.when(F.col("weak_a"), F.col("a")).otherwise(F.col("b")).alias("node"), F.when(F.col("weak_a"), F.col("key_b")).otherwise(F.col("key_a")).alias("key"), "gap")
+    near = near.groupBy("node").agg(F.min_by("key", F.struct("gap", "key")).alias("near"))
+    for k in ("a", "b"):
+        links = links.join(near.select(F.col("node").alias(k), F.col("near").alias(f"near_{k}")), k, "left")
+    fits = F.when(F.expr("weak_a and weak_b"), F.coalesce(F.expr("near_a = near_b"), F.lit(True))).when(F.col("weak_a"), F.expr("near_a = key_b")).when(F.col("weak_b"), F.expr("near_b = key_a")).otherwise(True)
+    return cut_lineage(links.where(fits))
+
+
 def cross_split_pairs(members: DataFrame) -> DataFrame:
     """``(record_a, record_b, ...)``, smaller id first: each train record with each val or test record of its class and run."""
     left = members.where("split = 'train' and run_id is not null").select("run_id", "class_id", F.col("record_id").alias("train_id"), F.struct("ul_x", "ul_y", "lr_x", "lr_y").alias("train_box"), F.col("node").alias("train_node"))

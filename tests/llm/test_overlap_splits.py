@@ -79,6 +79,23 @@ def test_against_all_pairs_with_hot_digests(spark, monkeypatch, hot):
     assert pairs_of(spark, rows)[0] == brute(rows)
 
 
+@pytest.mark.parametrize("hot", [64, 1])
+def test_same_city_year_and_place_without_the_right_number(spark, monkeypatch, hot):
+    monkeypatch.setattr(overlap, "HOT", hot)
+    rows = [
+        record(1, "train"), record(2, "val", "KDR_18", x=1_000_020.0), record(3, "test", "KDR_1118"), record(4, "val", "sheet", x=1_000_040.0), record(5, "test", "KDR_11", x=1_000_001.0),  # a digit missing, one too many, none
+        *[record(10 * k, "train", run=k) for k in range(2, 9)], record(21, "val", "KDR_128", run=2), record(31, "val", "KDR_18A", run=3), record(41, "val", "KDR_18", year=1902, run=4), record(51, "val", "sheet", year=1902, run=5),
+        record(61, "val", "sheet", city="Berg", run=6), record(71, "val", "sheet", x=1_003_000.0, run=7), record(81, "val", "sheet", x=None, run=8), record(91, "test", "KDR_1118", run=9),
+    ]
+    got, _, links = pairs_of(spark, rows)
+    assert got == {(1, k) for k in (2, 3, 4, 5)}
+    assert links.where("share_a > 1 or share_a <= 0 or share_b > 1 or share_b <= 0").count() == 0 < links.count()
+    # a record without number, or with one that lacks a digit, doesn't link two sheets, but goes with the nearer
+    rows = [record(1, "train"), record(2, "val", "KDR_118A", x=1_000_060.0), record(3, "test", "sheet", x=1_000_020.0), record(4, "train", "sheet", x=1_000_050.0)]
+    rows += [record(5, "train", run=2), record(6, "train", "KDR_128", x=1_000_060.0, run=2), record(7, "val", "KDR_18", x=1_000_040.0, run=2)]
+    assert pairs_of(spark, rows)[0] == {(1, 3), (2, 4), (6, 7)}
+
+
 def test_overlap_of_nothing(spark):
     members, links = overlap.classes(spark.createDataFrame([], SCHEMA))
     assert members.count() == links.count() == overlap.overlap_report(members, links).count() == 0
