@@ -40,9 +40,9 @@ def running_best(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def median_curve(spark: SparkSession, sf: str) -> DataFrame:
-    """The median over users of the running best at each position, for the first 20 positions (the report's length)."""
+    """The median over users of the running best at each position, up to the longest run."""
     rows = _trials(spark, sf).where("value is not null").withColumn("position", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
-    curve = objective.running_best(rows, "user_id", "event_id", "value").where("position <= 20")
+    curve = objective.running_best(rows, "user_id", "event_id", "value")
     return curve.groupBy("position").agg(F.count(F.lit(1)).alias("users"), F.round(F.expr("percentile(best, 0.5)"), 6).alias("median_best"))
 
 
