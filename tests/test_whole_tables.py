@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from statistics import median
 
-from gridwright.plans import trials
+from gridwright.plans import tiles, trials
 
 
 def test_median_curve_goes_to_the_longest_run(spark, tmp_path):
@@ -13,3 +13,14 @@ def test_median_curve_goes_to_the_longest_run(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
     want = {k: (sum(len(v) >= k for v in values.values()), round(median(max(v[:k]) for v in values.values() if len(v) >= k), 6)) for k in range(1, 32)}
     assert {r.position: (r.users, r.median_best) for r in trials.median_curve(spark, str(tmp_path)).collect()} == want
+
+
+def test_enrich_variant_reads_all_tiles(spark, tmp_path):
+    columns = "tile_id long, shortname string, longname string, city string, year int, lon double, lat double, quadrant string, ul_x double, ul_y double, lr_x double, lr_y double, image_path string"
+    # no id is a multiple of 3; KDR_003B, KDR_004A and KDR_005 are absent
+    tiles_of = [(1, "KDR_001", "Au"), (2, "KDR_001A", "Berg"), (4, "KDR_002A", "Celle"), (5, "KDR_003", "Dorf"), (7, "KDR_003A", "Eck"), (8, "KDR_004C", "Furt"), (10, "KDR_004B", None)]
+    spark.createDataFrame([(i, s, None, c, *[None] * 9) for i, s, c in tiles_of], columns).write.parquet(str(tmp_path / "new_all_tiles.parquet"))
+    records = [(1, "KDR_001A", None), (2, "kdr-002a.png", "nan"), (3, "KDR_003B", None), (4, "KDR_004A", ""), (5, "KDR_005", None), (6, "KDR_001", "Own"), (7, None, None)]
+    spark.createDataFrame(records, "record_id long, shortname string, city string").write.parquet(str(tmp_path / "real_tiles_metadata.parquet"))
+    got = {r.record_id: r.city for r in tiles.enrich_variant(spark, str(tmp_path)).collect()}
+    assert got == {1: "Berg", 2: "Celle", 3: "Dorf", 4: "Furt", 5: None, 6: "Own", 7: None}
