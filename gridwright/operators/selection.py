@@ -1,7 +1,8 @@
 """Varied subsets under a minimum distance: greedy facility location and its relatives.
 
-A pool of up to ``LARGEST_POOL`` candidates is one group of an Arrow kernel, so many settings run side by side, each a task.
-Larger pools go through :func:`greedy_in_two_rounds`, where parts of the pool choose their best and these compete.
+A pool is one group of an Arrow kernel, so many settings run side by side, each a task. Up to ``DENSE`` candidates its distances
+are held as a matrix; for more they are worked out anew for a block of rows at a time, in each round, with the same choice.
+:func:`greedy_in_two_rounds` is quicker and approximate: parts of the pool choose their best and these compete.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Callable, Iterable, Sequence
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -17,7 +19,9 @@ from pyspark.sql import functions as F
 
 from gridwright.operators.pairs import check_weights
 
-LARGEST_POOL = 20_000
+#: Candidates up to which the distances of all with all are held, and figures in a block of rows beyond that.
+DENSE, BLOCK = 4_000, 8_000_000
+ALL = slice(None)
 _EARTH = 6371.0
 
 
@@ -25,8 +29,6 @@ class Pool:
     """Candidates as arrays, in the order of their ids."""
 
     def __init__(self, rows: pd.DataFrame):
-        if len(rows) > LARGEST_POOL:
-            raise ValueError(f"{len(rows)} candidates are too many for one kernel; choose in two rounds")
         rows = rows.sort_values("row_id", kind="stable").reset_index(drop=True)
         self.ids = rows["row_id"].to_numpy()
         self.features = np.stack(rows["features"].to_numpy()).astype(float) if len(rows) else np.empty((0, 0))
@@ -35,36 +37,91 @@ class Pool:
         years = rows["year"].to_numpy(dtype=float)
         self.years = np.where(np.isnan(years), np.nanmedian(years) if (~np.isnan(years)).any() else 0.0, years)
 
-    def visual(self) -> np.ndarray:
-        square = (self.features**2).sum(1)
-        out = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * self.features @ self.features.T, 0.0))
+    # Distances of some rows (all if not given) with all, or with the columns given.
+    def visual(self, rows=ALL) -> np.ndarray:
+        some = self.features[rows]
+        square, own = (self.features**2).sum(1), (some**2).sum(1)
+        out = np.sqrt(np.maximum(own[:, None] + square[None, :] - 2 * some @ self.features.T, 0.0))
         # differences of near vectors lose digits in this form; they are worked out anew
-        for i, j in zip(*np.nonzero(out < 1e-3 * (1 + np.sqrt(square)[:, None]))):
-            out[i, j] = math.sqrt(float(((self.features[i] - self.features[j]) ** 2).sum()))
+        for i, j in zip(*np.nonzero(out < 1e-3 * (1 + np.sqrt(own)[:, None]))):
+            out[i, j] = math.sqrt(float(((some[i] - self.features[j]) ** 2).sum()))
         return out
 
-    def cosine(self) -> np.ndarray:
+    def cosine(self, rows=ALL) -> np.ndarray:
         length = np.linalg.norm(self.features, axis=1)
         unit = self.features / np.where(length == 0, 1.0, length)[:, None]
-        return np.clip(1 - unit @ unit.T, 0.0, 1.0)
+        return np.clip(1 - unit[rows] @ unit.T, 0.0, 1.0)
 
-    def centre_km(self) -> np.ndarray:
+    def centre_km(self, rows=ALL, columns=ALL) -> np.ndarray:
         x, y = self.xy[:, 0], self.xy[:, 1]
         if len(x) and max(np.abs(x).max(), np.abs(y).max()) >= 1000:
-            return np.hypot(x[:, None] - x[None, :], y[:, None] - y[None, :]) / 1000
+            return np.hypot(x[rows][:, None] - x[columns][None, :], y[rows][:, None] - y[columns][None, :]) / 1000
         lon, lat = np.radians(x), np.radians(y)
-        h = np.sin((lat[:, None] - lat[None, :]) / 2) ** 2 + np.cos(lat)[:, None] * np.cos(lat)[None, :] * np.sin((lon[:, None] - lon[None, :]) / 2) ** 2
+        h = np.sin((lat[rows][:, None] - lat[columns][None, :]) / 2) ** 2 + np.cos(lat[rows])[:, None] * np.cos(lat[columns])[None, :] * np.sin((lon[rows][:, None] - lon[columns][None, :]) / 2) ** 2
         return 2 * _EARTH * np.arctan2(np.sqrt(np.clip(h, 0, 1)), np.sqrt(1 - np.clip(h, 0, 1)))
 
-    def edge_km(self) -> np.ndarray:
-        gap = lambda low, high: np.maximum(np.maximum(low[:, None] - high[None, :], low[None, :] - high[:, None]), 0.0)
+    def edge_km(self, rows=ALL) -> np.ndarray:
+        gap = lambda low, high: np.maximum(np.maximum(low[rows][:, None] - high[None, :], low[None, :] - high[rows][:, None]), 0.0)
         return np.hypot(gap(self.box[:, 0], self.box[:, 1]), gap(self.box[:, 2], self.box[:, 3])) / 1000
 
-    def unified(self, alpha: float, beta: float, gamma: float) -> np.ndarray:
+    def gap_years(self, rows=ALL) -> np.ndarray:
+        return np.abs(self.years[rows][:, None] - self.years[None, :])
+
+    @cached_property
+    def largest(self) -> list[float]:
+        """The largest visual, spatial and temporal distance, by blocks of rows."""
+        most = [0.0, 0.0, 0.0]
+        for rows in blocks(np.arange(len(self.ids)), len(self.ids)):
+            most = [max(m, float(d(rows).max())) for m, d in zip(most, (self.visual, self.centre_km, self.gap_years))]
+        return most
+
+    def unified(self, alpha: float, beta: float, gamma: float, rows=None) -> np.ndarray:
         check_weights(alpha, beta, gamma)
-        scaled = lambda d: d / d.max() if d.size and d.max() > 0 else d
-        years = np.abs(self.years[:, None] - self.years[None, :])
-        return alpha * scaled(self.visual()) + beta * scaled(self.centre_km()) + gamma * scaled(years)
+        parts = [d(ALL if rows is None else rows) for d in (self.visual, self.centre_km, self.gap_years)]
+        most = [d.max() if d.size else 0.0 for d in parts] if rows is None else self.largest
+        visual, km, years = (d / m if m > 0 else d for d, m in zip(parts, most))
+        return alpha * visual + beta * km + gamma * years
+
+
+def blocks(rows: np.ndarray, columns: int) -> Iterable[np.ndarray]:
+    """``rows`` in blocks that hold about ``BLOCK`` figures with that many columns."""
+    size = max(1, BLOCK // max(1, columns))
+    return (rows[k : k + size] for k in range(0, len(rows), size))
+
+
+def unified_similarity(p: Pool, weights: Sequence[float], drawn: np.ndarray | None = None) -> Callable[[np.ndarray], np.ndarray]:
+    """The unified similarity of some rows with all, of the candidates at the places ``drawn`` (all if not given)."""
+    drawn = np.arange(len(p.ids)) if drawn is None else drawn
+    distance = lambda rows: p.unified(*weights, rows=drawn[rows])[:, drawn]
+    most = max((float(distance(rows).max()) for rows in blocks(np.arange(len(drawn)), len(drawn))), default=0.0)
+    return lambda rows: most - distance(rows)
+
+
+def greedy_by_blocks(n: int, similarity: Callable[[np.ndarray], np.ndarray], k: int, apart: Callable[[int], np.ndarray] | None = None, least_km: float = 0.0, seeds: Sequence[int] = ()) -> tuple[list[int], list[float]]:
+    """The choice of :func:`greedy` from similarities that are given for a block of rows at a time, so none are held."""
+    chosen: list[int] = []
+    gains: list[float] = []
+    best: np.ndarray | None = None
+    open_ = np.ones(n, dtype=bool)
+    first = list(dict.fromkeys(s for s in seeds if 0 <= s < n))[:k]
+    while len(chosen) < min(k, n) and (len(chosen) < len(first) or open_.any()):
+        seed = first[len(chosen)] if len(chosen) < len(first) else None
+        c, gain = -1, -np.inf
+        for rows in blocks(np.flatnonzero(open_) if seed is None else np.array([seed]), n):
+            block = similarity(rows)
+            sums = block.sum(1) if best is None else np.maximum(block - best[None, :], 0.0).sum(1)
+            sums = np.round(sums, 9) if seed is None else sums
+            at = int(sums.argmax())
+            if sums[at] > gain:
+                c, gain = int(rows[at]), float(sums[at])
+        row = similarity(np.array([c]))[0]
+        chosen.append(c)
+        gains.append(gain)
+        best = row.copy() if best is None else np.maximum(best, row)
+        open_[c] = False
+        if apart is not None and least_km > 0:
+            open_[apart(c) < least_km] = False
+    return chosen, gains
 
 
 def greedy(similarity: np.ndarray, k: int, apart: np.ndarray | None = None, least_km: float = 0.0, seeds: Sequence[int] = ()) -> tuple[list[int], list[float]]:
@@ -164,7 +221,8 @@ def select(pool: DataFrame, settings: DataFrame, mode: str = "unified", seeds: S
 
     mode: unified (weighted visual, spatial and temporal similarity), cosine or euclidean (negative distance, centres only),
     lazy (unified without constraint), farthest, thinning (rank order by id). metric: edge or centre. The pool is copied
-    once for each setting, which is why it is bounded; the copies are worked on in parallel.
+    once for each setting; the copies are worked on in parallel. A copy's rows must fit a task's memory, their distances not:
+    beyond ``DENSE`` rows they are worked out in blocks, which takes time by rows squared and ``k``.
     """
     rows = pool.select("row_id", "features", "center_x", "center_y", "minx", "maxx", "miny", "maxy", "year")
     both = settings.join(rows)
@@ -172,25 +230,29 @@ def select(pool: DataFrame, settings: DataFrame, mode: str = "unified", seeds: S
     def run(group: pd.DataFrame) -> pd.DataFrame:
         first, p = group.iloc[0], Pool(group)
         k, least = int(first["k"]), float(first["least_km"])
-        if mode in ("unified", "lazy"):
-            d = p.unified(float(first["alpha"]), float(first["beta"]), float(first["gamma"]))
-            similarity = d.max() - d
-        elif mode == "cosine":
-            similarity = 1 - p.cosine()
-        else:
-            similarity = -p.visual() if mode == "euclidean" else np.empty((0, 0))
-        apart = (p.edge_km() if metric == "edge" and mode == "unified" else p.centre_km()) if least > 0 else None
+        weights, n = [float(first[c]) for c in ("alpha", "beta", "gamma")], len(p.ids)
+        km = p.edge_km if metric == "edge" and mode == "unified" else p.centre_km
         places = [int(np.searchsorted(p.ids, s)) for s in seeds if s in set(p.ids.tolist())]
-        if mode == "lazy":
-            chosen, gains = lazy_greedy(similarity, k)
-        elif mode == "farthest":
+        if mode == "farthest":
             chosen = farthest_points(p.features, k)
             gains = [0.0] * len(chosen)
         elif mode == "thinning":
-            chosen = thin(range(len(p.ids)), lambda i, kept: apart[i, kept], least, k)
+            chosen = thin(range(n), lambda i, kept: p.centre_km([i], kept)[0], least, k)
             gains = [0.0] * len(chosen)
+        elif n > DENSE:
+            if mode in ("unified", "lazy"):
+                similarity = unified_similarity(p, weights)
+            else:
+                similarity = (lambda rows: 1 - p.cosine(rows)) if mode == "cosine" else (lambda rows: -p.visual(rows))
+            free = mode == "lazy"
+            chosen, gains = greedy_by_blocks(n, similarity, k, None if free else (lambda c: km([c])[0]), least, () if free else places)
         else:
-            chosen, gains = greedy(similarity, k, apart, least, places)
+            if mode in ("unified", "lazy"):
+                d = p.unified(*weights)
+                similarity = d.max() - d
+            else:
+                similarity = 1 - p.cosine() if mode == "cosine" else -p.visual()
+            chosen, gains = lazy_greedy(similarity, k) if mode == "lazy" else greedy(similarity, k, km() if least > 0 else None, least, places)
         return pd.DataFrame({"config_id": int(first["config_id"]), "selection_rank": range(len(chosen)), "row_id": p.ids[chosen], "gain": gains})
 
     return both.groupBy("config_id").applyInPandas(run, "config_id int, selection_rank int, row_id bigint, gain double")
@@ -199,8 +261,8 @@ def select(pool: DataFrame, settings: DataFrame, mode: str = "unified", seeds: S
 def greedy_in_two_rounds(pool: DataFrame, k: int, parts: int, least_km: float = 0.0, alpha: float = 0.4, beta: float = 0.3, gamma: float = 0.3) -> DataFrame:
     """A choice from a pool of any size: each of ``parts`` random parts chooses ``k``, then the chosen compete.
 
-    The known two-round scheme for distributed submodular choice, within a constant factor of the best. Parts must stay
-    under ``LARGEST_POOL``. ``selection_rank, row_id, gain``, gains among the finalists.
+    The known two-round scheme for distributed submodular choice, within a constant factor of the best. A part's distances
+    are held as a matrix. ``selection_rank, row_id, gain``, gains among the finalists.
     """
     spark = pool.sparkSession
     dealt = pool.withColumn("config_id", F.pmod(F.xxhash64("row_id"), F.lit(parts)).cast("int"))

@@ -27,8 +27,11 @@ def bootstrap_selection(spark: SparkSession, sf: str) -> DataFrame:
         p, rep = selection.Pool(group), int(group["config_id"].iloc[0])
         # replicate 0 is the pool itself; the others draw positions, and a candidate drawn twice stands twice
         drawn = np.arange(len(p.ids)) if rep == 0 else np.random.default_rng([42, rep]).integers(0, len(p.ids), len(p.ids))
-        d = p.unified(0.4, 0.3, 0.3)[np.ix_(drawn, drawn)]
-        chosen, _ = selection.greedy(d.max() - d, K, p.edge_km()[np.ix_(drawn, drawn)], LEAST_KM)
+        if len(p.ids) > selection.DENSE:
+            chosen, _ = selection.greedy_by_blocks(len(drawn), selection.unified_similarity(p, (0.4, 0.3, 0.3), drawn), K, lambda c: p.edge_km([drawn[c]])[0, drawn], LEAST_KM)
+        else:
+            d = p.unified(0.4, 0.3, 0.3)[np.ix_(drawn, drawn)]
+            chosen, _ = selection.greedy(d.max() - d, K, p.edge_km()[np.ix_(drawn, drawn)], LEAST_KM)
         ids = list(dict.fromkeys(p.ids[drawn[chosen]].tolist()))
         return pd.DataFrame({"replicate": [rep], "ids": [ids], "shortfall": [max(0, K - len(ids))]})
 
