@@ -15,7 +15,7 @@ from gridwright.operators import contract, inference, objective, search, selecti
 from gridwright.session import table
 from gridwright.sources.pool import candidate_pool, pool_sql
 
-REPLICATES, K, LEAST_KM = 12, 5, 28.5
+REPLICATES, K, LEAST_KM = 200, 24, 28.5
 
 
 def bootstrap_selection(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,7 +45,7 @@ def bootstrap_selection(spark: SparkSession, sf: str) -> DataFrame:
 def ensemble_uncertainty(spark: SparkSession, sf: str) -> DataFrame:
     """How far an ensemble disagrees on the year of a candidate, over the pool."""
     pool = candidate_pool(spark, sf)
-    out = uncertainty.uncertainty_summary(uncertainty.ensemble(pool, "row_id", "features", "year", members=3))
+    out = uncertainty.uncertainty_summary(uncertainty.ensemble(pool, "row_id", "features", "year", members=5))
     return out.select(*[F.round(c, 3).alias(c) for c in out.columns])
 
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from pathlib import Path
 from statistics import median
 
 import numpy as np
 import pandas as pd
 import pytest
 
-from gridwright.operators import selection
-from gridwright.plans import tiles, trials
+from gridwright.operators import selection, uncertainty
+from gridwright.plans import reports, tiles, trials
 
 
 def test_median_curve_goes_to_the_longest_run(spark, tmp_path):
@@ -56,3 +57,12 @@ def test_pools_beyond_20000_are_chosen_from(spark):
     for mode in ("farthest", "thinning", "cosine"):
         got = selection.select(pool, spark.createDataFrame([(0, 0.4, 0.3, 0.3, 2, 20.0)], selection.SETTINGS), mode).collect()
         assert len({r.row_id for r in got}) == 2
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables here")
+def test_reports_have_their_full_size(spark, monkeypatch):
+    assert reports.bootstrap_selection(spark, "/root/testdata/sf0.001").count() == 200 and reports.K == 24
+    asked, ensemble = [], uncertainty.ensemble
+    monkeypatch.setattr(uncertainty, "ensemble", lambda *a, **k: (asked.append(k.get("members", 5)), ensemble(*a, **k))[1])
+    reports.ensemble_uncertainty(spark, "/root/testdata/sf0.001")
+    assert asked == [5]
