@@ -1,8 +1,8 @@
 """Statistics of texts that tell prose from lists, tables and junk, and a model on them.
 
-Rules on the structure of lines label the clear cases of a bounded sample. Gradient-boosted trees are trained on the
-statistics of these texts, so that the statistics together decide the unclear ones, and their probabilities are calibrated
-on a small holdout of texts that were labelled by reading.
+Rules on the structure of lines label the clear cases of a bounded sample, weakly. Gradient-boosted trees are trained on the
+statistics of these texts; what the rules found isn't among their inputs, so the statistics alone decide. Their
+probabilities are calibrated on a holdout of texts from the corpus that were labelled by reading.
 """
 
 from __future__ import annotations
@@ -15,15 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.holdout import EXAMPLES, HOLDOUT
+from gridwright.llm.holdout import DRAWN, EXAMPLES, HOLDOUT
 from gridwright.session import cut_lineage
 
 KINDS = ("prose", "list", "table", "junk")
 #: Texts that the model is trained on at most, drawn by a hash of the id. Everything else is done for all texts.
 TRAINING_TEXTS = 12_000
+#: Common words accepted; the table is small and fixed, and its rows go to every task. More are an error.
+MOST_WORDS = 10_000
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 DIGIT = re.compile(r"\d")
@@ -35,6 +37,7 @@ BLANKS = re.compile(r"(?<=\S) +(?=\S)")
 #: A token of letters or of digits or a sheet key, with plain punctuation around.
 INTACT = re.compile(r"^[(\[\"'„“«]*(?:[^\W\d_]+(?:[-'’/][^\W\d_]+)*|[0-9]+(?:[.,:;][0-9]+)*|[A-Za-z]{2,4}_[0-9]{1,3}[A-Za-z]{0,4})[)\]\"'”“».,;:!?…]*$")
 _ENDS = frozenset(".!?…")
+STOP = re.compile(r"[.!?…]+(?:\s|$)")
 _INVISIBLE = (("\xa0", " "), ("\u200b", ""), ("\u200d", ""), ("\xad", ""), ("\ufeff", ""))
 CODE = re.compile(r"^[A-Za-z0-9+/=_\-]{28,}$")
 SEPARATORS = (" / ", "; ", ", ", " | ", " · ", " – ")
@@ -42,7 +45,7 @@ SEPARATORS = (" / ", "; ", ", ", " | ", " · ", " – ")
 NAMES = (
     "words", "lines", "word_length", "words_line", "end_share", "common_share", "letter_share", "digit_share", "symbol_share", "odd_share",
     "cells_share", "cells_agree", "tag_rate", "gap_share", "marker_share", "short_share", "distinct_lines", "distinct_words", "longest_token", "code_share",
-    "capital_share", "short_words", "markup_share", "intact_share", "words_sentence", "entry_words", "separator_rate", "top_word", "key_share", "vowel_share", "prose_part", "list_part", "table_part", "junk_part",
+    "capital_share", "short_words", "markup_share", "intact_share", "words_sentence", "entry_words", "separator_rate", "top_word", "key_share", "vowel_share",
 )
 
 
@@ -108,6 +111,12 @@ _intact = _Intact().__getitem__
 
 def statistics(text: str | None, common: frozenset[str]) -> list[float] | None:
     """The figures named in ``NAMES``; None for null and blank texts."""
+    measured = measure(text, common)
+    return None if measured is None else measured[0]
+
+
+def measure(text: str | None, common: frozenset[str]) -> tuple[list[float], list[float]] | None:
+    """The figures named in ``NAMES``, and apart from them the share of the text that rules take for each of ``KINDS``."""
     if text is None or not text.strip(" \t\r\n\ufeff\u200b\u200d\xa0"):
         return None
     tags, plain = 0, text
@@ -167,7 +176,7 @@ def statistics(text: str | None, common: frozenset[str]) -> list[float] | None:
     gaps = [len(GAP.findall(x)) if "  " in x or "\t" in x else 0 for x in lines]
     marked = [MARKER.match(x) is not None for x in lines]
     ended = [x.rstrip(_CLOSING)[-1:] in _ENDS for x in lines]
-    stops_in = [x.count(". ") + x.count("! ") + x.count("? ") + e for x, e in zip(lines, ended)]
+    stops_in = [max(len(STOP.findall(x)), e) if "." in x or "!" in x or "?" in x or "…" in x else 0 for x, e in zip(lines, ended)]
     repeated = n_lines >= 4 and max(counts.values()) >= 0.5 * n_lines
     few_words = n_words >= 20 and len(word_counts) <= 6
     short_words = sum(n for w, n in word_counts.items() if len(w) <= 2)
@@ -233,14 +242,12 @@ def statistics(text: str | None, common: frozenset[str]) -> list[float] | None:
         code_size / dense,
         capitals / some, short_words / some, max(0.0, 1 - dense / raw_dense) if raw_dense else 0.0, sum(map(_intact, tokens)) / (len(tokens) or 1), min(60.0, n_words / (1 + sum(stops_in))), entries_words / parts_seen if parts_seen else 20.0, separators / (n_words + 1),
         max(word_counts.values(), default=0) / some,
-        plain.count("KDR_") / (len(tokens) or 1), vowels / (letters or 1),
-        *[part[k] / whole for k in KINDS],
-    ]
+        plain.upper().count("KDR_") / (len(tokens) or 1), vowels / (letters or 1),
+    ], [part[k] / whole for k in KINDS]
 
 
-def weak_label(figures: list[float]) -> int:
+def weak_label(parts: list[float]) -> int:
     """The kind that rules see in at least four fifths of a text, or -1 if none."""
-    parts = figures[-4:]
     top = int(np.argmax(parts))
     return top if parts[top] >= 0.8 else -1
 
@@ -329,20 +336,43 @@ class ProseModel:
     """Trees and the temperature that makes their probabilities honest on the holdout."""
 
     def __init__(self, figures: np.ndarray, labels: np.ndarray, common: frozenset[str]):
-        held = [(statistics(t, common), KINDS.index(k)) for k, t in HOLDOUT]
-        held_x, held_y = np.array([f for f, _ in held]), np.array([k for _, k in held])
         # each kind weighs alike, however rare; a kind without any example can't be told and never comes out
         counts = np.bincount(labels, minlength=len(KINDS))
         weights = (len(labels) / np.maximum(counts, 1))[labels] ** 0.5
         self.trees = BoostedTrees().fit(figures, labels, len(KINDS), weights / weights.mean())
-        scores = self.trees.scores(held_x)
-        loss = lambda t: -np.log(softmax(scores / t)[np.arange(len(held_y)), held_y] + 1e-12).mean()
-        self.temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0, 5.6, 8.0), key=loss)
-        self.accuracy = float((scores.argmax(1) == held_y).mean())
+        held = [(statistics(t, common), KINDS.index(k)) for k, t in HOLDOUT + DRAWN]
+        self.held_scores, self.held_kinds = self.trees.scores(np.array([f for f, _ in held])), np.array([k for _, k in held])
+        self.temperature = calibrated(self.held_scores, self.held_kinds)
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         return softmax(self.trees.scores(x) / self.temperature)
 
+    def report(self) -> list[tuple[str, str, int, float, float]]:
+        """``(kind, taken_for, texts, mean_probability, calibration_gap)`` of the holdout: the gap is the mean probability
+        less the share that is right, over the texts of the kind."""
+        p = softmax(self.held_scores / self.temperature)
+        top, sure = p.argmax(1), p.max(1)
+        rows = []
+        for k, name in enumerate(KINDS):
+            mine = self.held_kinds == k
+            gap = float(sure[mine].mean() - (top[mine] == k).mean())
+            rows += [(name, KINDS[t], int((mine & (top == t)).sum()), float(sure[mine & (top == t)].mean()), gap) for t in sorted(set(top[mine].tolist()))]
+        return rows
+
+
+def calibrated(scores: np.ndarray, kinds: np.ndarray) -> float:
+    """The temperature with the least cross entropy to smoothed targets, as Platt has them: with n texts of a kind its
+    target is (n + 1) / (n + 2), so a holdout without errors doesn't ask for certainty."""
+    n = np.bincount(kinds, minlength=scores.shape[1])[kinds]
+    target = np.repeat((1 / (n + 2) / (scores.shape[1] - 1))[:, None], scores.shape[1], axis=1)
+    target[np.arange(len(kinds)), kinds] = (n + 1) / (n + 2)
+    loss = lambda log_t: -(target * np.log(softmax(scores / math.exp(log_t)) + 1e-12)).sum(1).mean()
+    low, high, ratio = math.log(0.02), math.log(50.0), (math.sqrt(5) - 1) / 2
+    for _ in range(60):  # golden section: the loss has one minimum in the logarithm of the temperature
+        a, b = high - ratio * (high - low), low + ratio * (high - low)
+        low, high = (low, b) if loss(a) <= loss(b) else (a, high)
+    return math.exp((low + high) / 2)
+
 
 def damaged(text: str, seed: int) -> str:
     """A text with up to a seventh of its letters misread, as poor scans have it; still prose if it was."""
@@ -357,24 +387,27 @@ def damaged(text: str, seed: int) -> str:
 
 
 def _figures(docs: DataFrame, id_col: str, text: str, common: list[str], rate: float) -> DataFrame:
-    """``(id, figures, label, damaged)``; of a sampled share of rows also the figures of a damaged copy, if prose."""
+    """``(id, figures, rule, label, chosen, damaged)``; ``rule`` is the kind most of the text is by the rules. For all prose
+    among a sampled share of rows also the figures of a damaged copy."""
     kind = dict(docs.dtypes)[id_col]
     words = frozenset(common)
-    schema = f"`{id_col}` {kind}, figures array<double>, label int, chosen boolean, damaged array<double>"
+    schema = f"`{id_col}` {kind}, figures array<double>, rule int, label int, chosen boolean, damaged array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, labels, spoilt = [], [], []
+            out, rules, labels, spoilt = [], [], [], []
             chosen = batch.column(2).to_pylist()
             for value, pick in zip(batch.column(1), chosen):
                 value = value.as_py()
-                figures = statistics(value, words)
-                label = -1 if figures is None else weak_label(figures)
+                figures, parts = measure(value, words) or (None, None)
+                label = -1 if parts is None else weak_label(parts)
                 out.append(figures)
+                rules.append(None if parts is None else int(np.argmax(parts)))
                 labels.append(label)
-                spoilt.append(statistics(damaged(value, len(value)), words) if pick and label == 0 and figures[0] > 2 and len(value) % 4 == 0 else None)
+                spoilt.append(statistics(damaged(value, len(value)), words) if pick and label == 0 and figures[0] > 2 else None)
             kind = pa.list_(pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind), pa.array(labels, pa.int32()), batch.column(2), pa.array(spoilt, kind)], names=[id_col, "figures", "label", "chosen", "damaged"])
+            columns = [batch.column(0), pa.array(out, kind), pa.array(rules, pa.int32()), pa.array(labels, pa.int32()), batch.column(2), pa.array(spoilt, kind)]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "figures", "rule", "label", "chosen", "damaged"])
 
     draw = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < int(rate * 1_000_000)
     return docs.select(id_col, text, F.coalesce(draw, F.lit(False)).alias("chosen")).mapInArrow(run, schema)
@@ -392,32 +425,48 @@ def fit_model(figures: DataFrame, common: list[str]) -> ProseModel:
     return ProseModel(np.array(x, dtype=float), np.array(y, dtype=np.int64), words)
 
 
+def common_forms(common_words: DataFrame) -> list[str]:
+    """The common words in lower case; an error beyond ``MOST_WORDS``."""
+    rows = common_words.select("word").distinct().limit(MOST_WORDS + 1).collect()
+    if len(rows) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} common words")
+    return sorted({r["word"].lower() for r in rows if r["word"]})
+
+
+def fitted(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, ProseModel]:
+    """The figures of all texts and the model trained on a sample of them."""
+    common = common_forms(common_words)
+    rate = min(1.0, 1.3 * TRAINING_TEXTS / max(docs.count(), 1))
+    figures = cut_lineage(_figures(docs, id_col, text, common, rate))
+    return figures, fit_model(figures, common)
+
+
 def classify(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(id, figures, kind, probability)`` for each row; null figures, kind and probability for null and blank texts.
+    """``(id, figures, kind, probability, rule_kind)`` for each row; null but for the id for null and blank texts.
 
-    kind is prose, list, table or junk. Whole texts are read in one pass without a shuffle; the model is trained on a
-    sample of at most ``TRAINING_TEXTS`` labelled rows, a bound in rows that keeps the driver's share fixed. Repeated rows
-    get equal results. An empty table gives an empty one.
+    kind is prose, list, table or junk by the trees; rule_kind is what the rules that label the training sample say, for
+    comparison. Whole texts are read in one pass without a shuffle; the model is trained on a sample of at most
+    ``TRAINING_TEXTS`` labelled rows and a damaged copy of the prose among them, a bound in rows that keeps the driver's
+    share fixed. Repeated rows get equal results. An empty table gives an empty one.
     """
-    common = sorted(r["word"].lower() for r in common_words.select("word").distinct().limit(10_000).collect() if r["word"])
-    total = docs.count()
-    rate = min(1.0, 1.3 * TRAINING_TEXTS / max(total, 1))
-    figures = cut_lineage(_figures(docs, id_col, text, common, rate))
-    model = fit_model(figures, common)
+    figures, model = fitted(docs, common_words, id_col, text)
     spread = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.array(KINDS, dtype=object)
         for batch in batches:
             known = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
-            kinds, chances = np.full(len(known), None, dtype=object), np.full(len(known), np.nan)
+            kinds, chances, rules = np.full(len(known), None, dtype=object), np.full(len(known), np.nan), np.full(len(known), None, dtype=object)
             if known.any():
                 x = batch.column(1).drop_null().flatten().to_numpy(zero_copy_only=False).reshape(int(known.sum()), -1)
                 p = spread.value.probabilities(x)
-                kinds[known], chances[known] = np.array(KINDS, dtype=object)[p.argmax(1)], p.max(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kinds, pa.string()), pa.array(chances, pa.float64(), mask=~known)], names=[id_col, "figures", "kind", "probability"])
+                kinds[known], chances[known] = names[p.argmax(1)], p.max(1)
+                rules[known] = names[batch.column(2).drop_null().to_numpy(zero_copy_only=False)]
+            columns = [batch.column(0), batch.column(1), pa.array(kinds, pa.string()), pa.array(chances, pa.float64(), mask=~known), pa.array(rules, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "figures", "kind", "probability", "rule_kind"])
 
-    return figures.select(id_col, "figures").mapInArrow(run, f"`{id_col}` {kind}, figures array<double>, kind string, probability double")
+    return figures.select(id_col, "figures", "rule").mapInArrow(run, f"`{id_col}` {kind}, figures array<double>, kind string, probability double, rule_kind string")
 
 
 def text_statistics(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -428,7 +477,7 @@ def text_statistics(docs: DataFrame, common_words: DataFrame, id_col: str = "doc
     share of words among the common ones of any language. Texts without words or lines have null ratios, null texts null
     figures; nothing is cut from long texts. The common words (a fixed small table) become one pattern.
     """
-    words = sorted(r["word"].lower() for r in common_words.select("word").distinct().limit(10_000).collect() if r["word"] and r["word"].isalpha())
+    words = [w for w in common_forms(common_words) if w.isalpha()]
     t = F.col(text)
     n = F.regexp_count(t, F.lit(r"\p{L}+"))
     letters = F.length(t) - F.length(F.regexp_replace(t, r"\p{L}", ""))
@@ -444,8 +493,3 @@ def text_statistics(docs: DataFrame, common_words: DataFrame, id_col: str = "doc
 def found(classified: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``(id, kind)`` of the texts that mostly aren't prose."""
     return classified.where(F.col("kind") != "prose").select(id_col, "kind")
-
-
-def column_of(name: str) -> Column:
-    """A figure by name, from the array ``figures``."""
-    return F.element_at("figures", NAMES.index(name) + 1)

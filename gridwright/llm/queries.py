@@ -131,6 +131,18 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return prose.found(prose.classify(table(spark, sf, "documents"), table(spark, sf, "common_words")))
 
 
+def p10_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """How many texts the trees and the labelling rules take for each kind, and the trees' mean probability."""
+    texts = prose.classify(table(spark, sf, "documents"), table(spark, sf, "common_words")).where("kind is not null")
+    return texts.groupBy("rule_kind", "kind").agg(F.count(F.lit(1)).alias("texts"), F.round(F.avg("probability"), 4).alias("mean_probability"))
+
+
+def p10_holdout(spark: SparkSession, sf: str) -> DataFrame:
+    """What the trees take the texts read by hand for: counts, mean probability, how far it is from the share that is right."""
+    model = prose.fitted(table(spark, sf, "documents"), table(spark, sf, "common_words"))[1]
+    return spark.createDataFrame(model.report(), "kind string, taken_for string, texts int, mean_probability double, calibration_gap double")
+
+
 def p10_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Figures on the words, symbols and line ends of every text."""
     return prose.text_statistics(table(spark, sf, "documents"), table(spark, sf, "common_words"))
@@ -138,5 +150,5 @@ def p10_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    named = (p1_found, p1_report, p1_sample, p3_found, p3_report, p3_audit, p4_found, p4_survivors, p5_varied, p6_found, p6_splits, p6_parts, p8_ids, p9_found, p9_packed, p9_containers, p10_found, p10_stats)
+    named = (p1_found, p1_report, p1_sample, p3_found, p3_report, p3_audit, p4_found, p4_survivors, p5_varied, p6_found, p6_splits, p6_parts, p8_ids, p9_found, p9_packed, p9_containers, p10_found, p10_agreement, p10_holdout, p10_stats)
     return {f.__name__: f for f in named}

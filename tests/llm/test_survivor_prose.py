@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from gridwright.llm import prose, survivor
-from gridwright.llm.holdout import HOLDOUT
+from gridwright.llm.holdout import DRAWN, HOLDOUT
 
 AT = [datetime.datetime(2026, 1, d) for d in range(1, 29)]
 SCHEMA = "record_id long, shortname string, longname string, city string, year double, filename string, image_path string, ul_x double, ul_y double, lr_x double, lr_y double, width_px int, pixel_width double, source_crs string, crs_provenance string, source string, recorded_at timestamp_ntz, tile string, rank int, value string"
@@ -101,6 +101,39 @@ def test_model_on_texts_read_by_hand():
     assert np.allclose(p.sum(1), 1) and (p.argmax(1) == labels).mean() > 0.95
 
 
+def test_what_rules_say_is_no_input(spark, monkeypatch):
+    common = frozenset(w for _, w in COMMON)
+    figures, parts = prose.measure(HOLDOUT[0][1], common)
+    assert len(figures) == len(prose.NAMES) and sum(parts) == pytest.approx(1) and not any("part" in n for n in prose.NAMES)
+    # with rules that label clear cases only, the trees judge texts that the rules don't
+    rows = corpus(spark)
+    train = [prose.measure(t, common) for _, t in rows]
+    labels = np.array([prose.weak_label(p) for _, p in train])
+    keep = labels >= 0
+    model = prose.ProseModel(np.array([f for f, _ in train])[keep], labels[keep], common)
+    assert 0.05 < model.temperature < 20
+    report = model.report()
+    assert sum(r[2] for r in report) == len(HOLDOUT) + len(DRAWN) and all(abs(r[4]) <= 1 for r in report)
+    assert {k for k, _ in DRAWN} == set(prose.KINDS)
+    words = spark.createDataFrame([("en", w) for w in ("a", "b", "c")], "lang string, word string")
+    monkeypatch.setattr(prose, "MOST_WORDS", 2)
+    with pytest.raises(ValueError):
+        prose.common_forms(words)
+
+
+def test_all_prose_of_the_sample_gets_a_damaged_copy(spark):
+    docs = spark.createDataFrame([(k, "The mill is not on the sheet" + " and it was drawn" * k + ".") for k in range(12)], "doc_id long, text string")
+    got = prose._figures(docs, "doc_id", "text", [w for _, w in COMMON], 1.0).collect()
+    assert all(r.label == 0 and r.damaged is not None for r in got)
+
+
+def test_temperature_is_inside_for_a_holdout_without_errors():
+    kinds = np.repeat(np.arange(4), 10)
+    assert 0.05 < prose.calibrated(np.eye(4)[kinds] * 8, kinds) < 20
+    wrong = np.eye(4)[(kinds + (np.arange(40) % 3 == 0)) % 4] * 8
+    assert prose.calibrated(wrong, kinds) > prose.calibrated(np.eye(4)[kinds] * 8, kinds)
+
+
 def test_trees_learn_what_is_there():
     rng = np.random.default_rng(0)
     x = rng.random((600, 4))
