@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridwright.session import cut_lineage
+
 
 def hash_order(*keys: Column, seed: int = 0) -> Column:
     """A 64-bit number that orders rows at random but the same way in every run."""
@@ -49,6 +51,21 @@ def prefix_totals(df: DataFrame, order: str, ties: list[str], amount: str, out:
     return joined.select(*[c for c in df.columns if c != "_bucket"], (F.col("_within") + F.col("_before")).alias(out))
 
 
+def dense_rank_all(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Add ``out``, the place from 0 of each row of the whole table by ``order``, which should be a total order.
+
+    The table is sorted by ranges, so each task ranks one range; the ranges' sizes, one row each, give the offsets.
+    """
+    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    # as many rows as there are partitions reach the one task of this window
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_range").orderBy(*order)
+    ranked = ranged.withColumn("_within", F.row_number().over(within) - 1).join(F.broadcast(offsets), "_range")
+    return ranked.select(*df.columns, (F.col("_within") + F.col("_before")).alias(out))
+
+
 def latest(df: DataFrame, key: str, by: list[Column | str]) -> DataFrame:
     """One row for each non-null ``key``: the last by ``by``, then by all other columns. Rows that arrive twice count once.
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwright.operators.pairs import check_weights
+from gridwright.operators.rank import dense_rank_all
 
 #: Candidates up to which the distances of all with all are held, and figures in a block of rows beyond that.
 DENSE, BLOCK = 4_000, 8_000_000
@@ -278,6 +279,22 @@ def greedy_in_two_rounds(pool: DataFrame, k: int, parts: int, least_km: float =
     return select(finalists, settings).drop("config_id")
 
 
+def core_and_cases(core: DataFrame, cases: DataFrame, key: str, rank: str, unseen_only: bool = False) -> DataFrame:
+    """``key, selection_group, selection_rank``: the core without the cases, the cases behind it, ranked anew from 0.
+
+    Keys are compared without regard to case. With ``unseen_only`` the core stays whole and only cases that it lacks are
+    appended. Ties go by key. The ranks are prefix sums over buckets of the order, so no task holds all rows.
+    """
+    low = lambda df: df.select(F.lower(key).alias("_low")).distinct()
+    if unseen_only:
+        cases = cases.withColumn("_low", F.lower(key)).join(low(core), "_low", "left_anti")
+    else:
+        core = core.withColumn("_low", F.lower(key)).join(low(cases), "_low", "left_anti")
+    both = core.select(key, F.lit("core").alias("selection_group"), F.lit(0).alias("_group"), F.col(rank).alias("_rank"))
+    both = both.union(cases.select(key, F.lit("case"), F.lit(1), F.col(rank)))
+    return dense_rank_all(both, ["_group", "_rank", key], "selection_rank").drop("_group", "_rank")
+
+
 def pareto_front(df: DataFrame, key: str, largest: list[str], smallest: list[str] = ()) -> DataFrame:
     """Rows that no other row dominates: at least as good in all objectives and better in one.
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridwright.functions import keys
 from gridwright.operators import objective, pairs, selection
 from gridwright.session import table
 from gridwright.sources.pool import candidate_pool, pool_sql
@@ -113,15 +114,10 @@ def pareto_front(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def core_case(spark: SparkSession, sf: str) -> DataFrame:
-    """A choice without the case candidates, the cases behind it, ranked anew."""
-    base = candidate_pool(spark, sf).select("row_id", "short_name")
-    core = base.where("row_id % 7 = 0").withColumn("selection_rank", F.col("row_id"))
-    cases = base.where("row_id % 11 = 0").withColumn("selection_rank", F.col("row_id"))
-    kept = core.join(cases.select(F.lower("short_name").alias("k")), F.lower("short_name") == F.col("k"), "left_anti").withColumn("selection_group", F.lit("core"))
-    both = kept.unionByName(cases.withColumn("selection_group", F.lit("case")))
-    # the number of both groups is the size of a selection, so one task ranks it
-    order = Window.partitionBy(F.lit(0)).orderBy(F.when(F.col("selection_group") == "core", 0).otherwise(1), "selection_rank", "row_id")
-    return both.select("row_id", "short_name", "selection_group", (F.row_number().over(order) - 1).alias("selection_rank"))
+    """The selected sheets: core ones that aren't cases too, the cases behind them, ranked anew."""
+    df = table(spark, sf, "selected_patches").select(keys.tile_key(F.col("tile_shortname")).alias("sheet"), "selection_group", "selection_rank").where("sheet is not null")
+    sheets = df.groupBy("sheet", "selection_group").agg(F.min("selection_rank").alias("selection_rank"))
+    return selection.core_and_cases(sheets.where("selection_group = 'core'"), sheets.where("selection_group = 'case'"), "sheet", "selection_rank")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -198,8 +194,7 @@ def oracle_sql() -> dict[str, str]:
             FROM steps s WHERE len(s.left_ids) > 0)
           SELECT selection_rank, row_id FROM steps""",
         "pareto_front": "SELECT p_partkey, p_size, p_retailprice FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_size >= a.p_size AND b.p_retailprice <= a.p_retailprice AND (b.p_size > a.p_size OR b.p_retailprice < a.p_retailprice))",
-        "core_case": f"""WITH p AS (SELECT row_id, short_name FROM {_POOL}), cases AS (SELECT * FROM p WHERE row_id % 11 = 0),
-          core AS (SELECT * FROM p WHERE row_id % 7 = 0 AND lower(short_name) NOT IN (SELECT lower(short_name) FROM cases)),
-          u AS (SELECT *, 'core' AS selection_group, 0 AS g FROM core UNION ALL SELECT *, 'case', 1 FROM cases)
-          SELECT row_id, short_name, selection_group, CAST(row_number() OVER (ORDER BY g, row_id) - 1 AS INT) AS selection_rank FROM u""",
+        "core_case": f"""WITH p AS (SELECT {keys.tile_key_sql('tile_shortname')} AS sheet, selection_group, min(selection_rank) AS r FROM selected_patches WHERE selection_group IN ('core', 'case') GROUP BY 1, 2 HAVING sheet IS NOT NULL),
+          u AS (SELECT sheet, 'core' AS selection_group, 0 AS g, r FROM p WHERE selection_group = 'core' AND sheet NOT IN (SELECT sheet FROM p WHERE selection_group = 'case') UNION ALL SELECT sheet, 'case', 1, r FROM p WHERE selection_group = 'case')
+          SELECT sheet, selection_group, row_number() OVER (ORDER BY g, r, sheet) - 1 AS selection_rank FROM u""",
     }

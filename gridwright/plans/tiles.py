@@ -229,7 +229,7 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT tile_id, 'market', 'flag_for_reporting', 'market town' FROM {_T} WHERE NOT {_OUT} AND regexp_matches(long_name, '(?i)\\(Markt\\)')""",
         "anchor_match": f"SELECT tile_id, term FROM (SELECT tile_id, CASE {' '.join(low)} END AS term FROM {_T}) WHERE term IS NOT NULL",
         "enrich_exact": f"WITH s AS (SELECT short_name AS sheet, min({keys.clean_sql('city')}) AS c FROM {_T} GROUP BY 1) SELECT record_id, sheet, coalesce(city, c) AS city FROM {_SHEETS} LEFT JOIN s USING (sheet)",
-        "enrich_variant": f"""WITH src AS (SELECT short_name AS sheet, {keys.clean_sql('city')} AS c FROM {_T} WHERE tile_id % 3 = 0), s AS (SELECT sheet, min(c) AS c FROM src GROUP BY 1),
+        "enrich_variant": f"""WITH src AS (SELECT short_name AS sheet, {keys.clean_sql('city')} AS c FROM {_T}), s AS (SELECT sheet, min(c) AS c FROM src GROUP BY 1),
             v AS (SELECT base, c AS vc FROM (SELECT regexp_replace(sheet, '[A-Z]+$', '') AS base, c, row_number() OVER (PARTITION BY regexp_replace(sheet, '[A-Z]+$', '') ORDER BY (sheet = regexp_replace(sheet, '[A-Z]+$', '')) DESC, (c IS NOT NULL) DESC, sheet) AS k FROM src WHERE sheet IS NOT NULL) WHERE k = 1)
             SELECT record_id, sheet, coalesce(city, c, vc) AS city FROM {_SHEETS} t LEFT JOIN s USING (sheet) LEFT JOIN v ON v.base = regexp_replace(t.sheet, '[A-Z]+$', '')""",
         "override_city": f"WITH f AS (SELECT {_KEY} AS short_name, min({keys.clean_sql('city')}) AS n FROM real_tiles_metadata WHERE source = 'city_overrides' AND {keys.clean_sql('city')} IS NOT NULL GROUP BY 1) SELECT tile_id, short_name, coalesce(n, city) AS city FROM {_T} LEFT JOIN f USING (short_name)",

@@ -179,7 +179,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT event_type, count(*) AS trials, round(max(b), 6) AS best, min(event_id) FILTER (WHERE b >= top * 0.99) AS reached FROM c GROUP BY event_type""",
         "running_best": f"""WITH c AS (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM {_EV} WHERE value IS NOT NULL) SELECT user_id, event_id, round(value, 6) AS best FROM c WHERE b IS NULL OR value > b""",
         "median_curve": f"""WITH c AS (SELECT user_id, row_number() OVER w AS position, max(value) OVER (w ROWS UNBOUNDED PRECEDING) AS best FROM {_EV} WHERE value IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
-            SELECT CAST(position AS INTEGER) AS position, count(*) AS users, round(quantile_cont(best, 0.5), 6) AS median_best FROM c WHERE position <= 20 GROUP BY position""",
+            SELECT CAST(position AS INTEGER) AS position, count(*) AS users, round(quantile_cont(best, 0.5), 6) AS median_best FROM c GROUP BY position""",
         "patience_stop": f"""WITH d AS (SELECT CAST(ts AS DATE) AS day, max(value) AS best FROM {_EV} GROUP BY 1), m AS (SELECT *, max(best) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM d),
             i AS (SELECT *, sum(CASE WHEN b IS NULL OR best > b THEN 1 ELSE 0 END) OVER (ORDER BY day) AS island FROM m), s AS (SELECT day, best, row_number() OVER (PARTITION BY island ORDER BY day) - 1 AS stale FROM i)
             SELECT day, round(best, 6) AS best, stale, max(CASE WHEN stale >= 3 THEN 1 ELSE 0 END) OVER (ORDER BY day) = 1 AS stopped FROM s""",

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def local_session(cpus: str | int = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """A local session with the settings the engine is tested with."""
@@ -28,27 +33,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session without that setting gets a
-    temporary one; on a cluster a machine-local folder would be lost with its machine, so that is an error.
+    Only a local session without that setting gets a temporary one; on a cluster a machine-local folder would be lost with
+    its machine, so that is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not spark.sparkContext.master.startswith("local"):
+            if spark.sparkContext.master.split("[")[0] != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="gridwright-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
+    return context.getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder (:func:`shared_folder`) and read it from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def unused_name(df: DataFrame, wish: str) -> str:
-    """``wish``, or ``wish`` with underscores added until ``df`` has no such column (names are case-insensitive)."""
-    taken = {c.lower() for c in df.columns}
-    while wish.lower() in taken:
-        wish += "_"
-    return wish
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application, so its kernels run wherever the driver was started.
+
+    The archive is written to the shared folder, so executors that come later find it too.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, str(Path(root.name) / file.relative_to(root)))
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark), f"{root.name}.zip")
+    out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    context.addPyFile(path.toString())
+    _shipped.add(context.applicationId)
