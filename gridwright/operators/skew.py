@@ -21,14 +21,18 @@ def join_hot(big: DataFrame, small: DataFrame, keys: list[str], spread: str, how
     """``big`` joined with ``small`` on ``keys``; the rows of a hot key of ``big`` are dealt out by a hash of ``spread``, and
     only the hot keys' rows of ``small`` are copied.
 
-    ``how`` is inner or left. ``sizes`` has the rows of each key of ``big`` if they are known. Null keys match nothing.
-    Nothing else is copied, so a table without hot keys is joined as it is.
+    ``how`` is inner or left. ``sizes`` has the rows of each key of ``big`` if they are known. Null keys match nothing and
+    are dealt out too. Nothing else is copied, so a table without hot keys is joined as it is.
     """
     if sizes is None:
         sizes = big.groupBy(*keys).agg(F.count(F.lit(1)).alias(rows))
     hot = hot_keys(sizes, keys, rows)
     dealt = big.join(F.broadcast(hot), keys, "left")
-    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64(F.col(spread)), F.coalesce("_parts", F.lit(1)).cast("long")).cast("int")).drop("_parts")
+    null, number = F.lit(False), F.xxhash64(F.col(spread))
+    for key in keys:
+        null = null | F.col(key).isNull()
+    part = F.when(null, -1 - F.pmod(number, F.lit(4096))).otherwise(F.pmod(number, F.coalesce("_parts", F.lit(1)).cast("long")))
+    dealt = dealt.withColumn("_part", part.cast("int")).drop("_parts")
     copied = small.join(F.broadcast(hot), keys, "left")
     copied = copied.withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return dealt.join(copied, [*keys, "_part"], how).drop("_part")
