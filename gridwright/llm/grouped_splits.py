@@ -1,19 +1,20 @@
 """Train, validation and test parts that keep related records together, over a persisted table of components.
 
 Records that share an entity are linked through it; components of the links stay in one part. What a call returns is kept and
-given to the next: new links merge old components by pointer jumping over the contracted graph. A component keeps its part,
+given to the next: new links merge old components by pointer jumping over the contracted graph of those they touch. A component keeps its part,
 drawn or not, also if none of its old records come again; new ones fill what the parts, old records counted, lack of their
 shares; a merge of components from different parts is put in quarantine instead of moving records that are in use.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwright.functions.keys import clean, tile_key
 from gridwright.operators.components import connected_components
 from gridwright.operators.rank import hash_order, prefix_totals
+from gridwright.operators.skew import join_hot
 from gridwright.session import cut_lineage
 
 PARTS = ("train", "val", "test")
@@ -36,20 +37,31 @@ def patch_entities(patches: DataFrame) -> DataFrame:
     return patches.where(F.col("patch_key").isNotNull()).select(F.col("patch_key").alias("item"), entities.alias("entities"), F.col("split_fold").alias("value"))
 
 
-def component_table(items: DataFrame, before: DataFrame | None = None) -> DataFrame:
+def component_table(items: DataFrame, before: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
     """``(entity, component)`` for all entities of ``items`` and of the table ``before``, merged.
 
     Only one link is kept for each pair of entities that meet, so an entity with a third of all items is one node with as
-    many links as it has partners. An item's entities are linked in a chain. ``before`` counts as links of its entities to
-    their component. Items without entities give no rows.
+    many links as it has partners. An item's entities are linked in a chain. Entities that ``before`` knows stand for their
+    component, so only the components that ``items`` touches are merged and the work goes with the new links; a component is
+    named by its least entity, and keeps its name unless it grows a lesser one. ``links`` (``entity, component``) ties
+    entities to components of ``before``. Items without entities give no rows.
     """
     pairs = items.where(F.size("entities") >= 1).select(
         F.explode(F.transform(F.sequence(F.lit(1), F.size("entities")), lambda i: F.struct(F.element_at("entities", F.greatest(i - 1, F.lit(1))).alias("a"), F.element_at("entities", i).alias("b")))).alias("p")
     )
-    links = pairs.select("p.a", "p.b").distinct()
-    if before is not None:
-        links = links.union(before.select(F.col("entity").alias("a"), F.col("component").alias("b")))
-    return connected_components(links, "a", "b").select(F.col("node").alias("entity"), "component")
+    new = pairs.select("p.a", "p.b").distinct()
+    if before is None:
+        return connected_components(new, "a", "b").select(F.col("node").alias("entity"), "component")
+    if links is not None:
+        new = new.union(links.select(F.col("entity").alias("a"), F.col("component").alias("b")).distinct())
+    for end in ("a", "b"):
+        known = before.select(F.col("entity").alias(end), F.col("component").alias("_known"))
+        new = new.join(known, end, "left").withColumn(end, F.coalesce("_known", end)).drop("_known")
+    merged = connected_components(new.distinct(), "a", "b")
+    names = merged.select(F.col("node").alias("component"), F.col("component").alias("_now"))
+    old = before.join(names, "component", "left").select("entity", F.coalesce("_now", "component").alias("component"))
+    fresh = merged.join(before.select(F.col("entity").alias("node")), "node", "left_anti").select(F.col("node").alias("entity"), "component")
+    return cut_lineage(old.union(fresh))
 
 
 def assign(
@@ -73,18 +85,16 @@ def assign(
     lacks land where their first item does. Items without entities are groups of their own. Null items are left out; an
     item given twice counts twice in ``items``. An empty table gives empty ones.
     """
+    items = cut_lineage(items.select("item", "entities", "value"))
     keyed = items.withColumn("entity", F.when(F.size("entities") >= 1, F.element_at("entities", 1)))
+    links = None
     if earlier is not None:
         old_items, old_groups, before = earlier
         # an item given again links its old group to what it is of now
         again = keyed.select("item", "entity").distinct().join(old_items.select("item", F.col("component").alias("_old")).distinct(), "item")
-        before = before.union(again.where("entity is not null").select("entity", "_old").distinct())
-    table = component_table(items, before)
-    # a hot entity's items meet its one row: spread both over salts
-    salts = 16
-    spread = lambda df: df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    keyed = keyed.withColumn("_salt", F.pmod(F.hash("item"), F.lit(salts)))
-    members = keyed.join(spread(table), ["entity", "_salt"], "left")
+        links = again.where("entity is not null").select("entity", F.col("_old").alias("component"))
+    table = component_table(items, before, links)
+    members = join_hot(keyed, table, ["entity"], "item", "left")
     alone = F.concat(F.lit("item:"), F.col("item").cast("string"))
     if earlier is None:
         members = members.select("item", "value", F.coalesce("component", alone).alias("component"))
@@ -94,8 +104,8 @@ def assign(
         now = F.coalesce("_now", "_old")
         back = again.where("entity is null").join(moved, "_old", "left").select("item", now.alias("_back"))
         members = members.join(back, "item", "left").select("item", "value", F.coalesce("component", "_back", alone).alias("component"))
-        rest = old_items.join(items.select("item").distinct(), "item", "left_anti").select("item", F.col("component").alias("_old"), F.pmod(F.hash("item"), F.lit(salts)).alias("_salt"))
-        rest = rest.join(spread(moved), ["_old", "_salt"], "left")
+        rest = old_items.join(items.select("item").distinct(), "item", "left_anti").select("item", F.col("component").alias("_old"))
+        rest = join_hot(rest, moved, ["_old"], "item", "left")
         members = members.union(rest.select("item", F.lit(None).cast(items.schema["value"].dataType), now))
     groups = members.groupBy("component").agg(F.min("item").alias("first_item"), F.count(F.lit(1)).alias("items"), F.array_sort(F.collect_set("value")).alias("values"))
     held = F.array().cast("array<string>")
@@ -130,6 +140,19 @@ def assign(
         chosen = F.when(F.col("_before") < end, name).otherwise(chosen)
     fresh = fresh.select("component", "first_item", "items", "values", chosen.alias("part"), "state")
     done = groups.where("part is not null").select("component", "first_item", "items", "values", "part", "state").union(fresh)
-    parts = spread(done.select("component", "part"))
-    out = members.withColumn("_salt", F.pmod(F.hash("item"), F.lit(salts))).join(parts, ["component", "_salt"]).select("item", "component", "part")
+    out = join_hot(members, done.select("component", "part"), ["component"], "item", sizes=groups.select("component", "items"), rows="items").select("item", "component", "part")
     return out, done, table
+
+
+RESULTS = ("items", "components", "table")
+
+
+def save(results: tuple[DataFrame, DataFrame, DataFrame], folder: str) -> None:
+    """Write what :func:`assign` gave to ``folder``, on storage that all executors share, for the next call."""
+    for name, df in zip(RESULTS, results):
+        df.write.mode("errorifexists").parquet(f"{folder}/{name}")
+
+
+def load(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What :func:`save` wrote, to be given to :func:`assign` as ``earlier``."""
+    return tuple(spark.read.parquet(f"{folder}/{name}") for name in RESULTS)

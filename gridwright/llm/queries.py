@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridwright.llm import diverse, encode, grouped_splits, overlap, packing, prose, sampling, survivor
 from gridwright.operators import splits
-from gridwright.session import table
+from gridwright.session import shared_folder, table
 
 
 def _sample(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -27,6 +28,12 @@ def p1_report(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.cells_and_report(table(spark, sf, "width_tasks"), table(spark, sf, "sampling_targets"))[2]
 
 
+def p1_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """What each target asks for and how many tasks there are for it."""
+    report = sampling.cells_and_report(table(spark, sf, "width_tasks"), table(spark, sf, "sampling_targets"))[2]
+    return report.select("run_id", "field_name", "category", F.round("required", 6).alias("required"), "available", "short")
+
+
 def p1_sample(spark: SparkSession, sf: str) -> DataFrame:
     """The tasks drawn for each run."""
     return _sample(spark, sf)[0]
@@ -69,7 +76,8 @@ def p4_survivors(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """The best record of each sheet with two or more."""
-    return p4_survivors(spark, sf).where("records >= 2").select("group_id", "best_id")
+    best = survivor.best_records(table(spark, sf, "real_tiles_metadata"), table(spark, sf, "source_trust"))
+    return best.where("records >= 2").select("group_id", "best_id")
 
 
 def p5_varied(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,6 +107,27 @@ def p6_parts(spark: SparkSession, sf: str) -> DataFrame:
     return components.groupBy("part", "state").agg(F.count(F.lit(1)).alias("component_count"), F.sum("items").alias("patches"))
 
 
+def _in_two_batches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The patches assigned as they arrive: those of the first months, the results written and read again, then only the rest."""
+    patches = table(spark, sf, "selected_patches")
+    seconds = F.unix_micros(F.col("ingested_at").cast("timestamp"))
+    late = F.coalesce(seconds, F.lit(0)) > F.lit(patches.agg(F.percentile_approx(seconds, 0.75)).first()[0] or 0)
+    batch = lambda arrived: grouped_splits.patch_entities(patches.where(arrived))
+    folder = f"{shared_folder(spark)}/components-{uuid.uuid4().hex}"
+    grouped_splits.save(grouped_splits.assign(batch(~late), grouped_splits.FOLD_PARTS), folder)
+    return grouped_splits.assign(batch(late), grouped_splits.FOLD_PARTS, earlier=grouped_splits.load(spark, folder))
+
+
+def p6_second_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """The part of each patch after the last quarter arrived as a second batch: parts of the first call hold."""
+    return _in_two_batches(spark, sf)[0].select(F.col("item").alias("patch_key"), "component", "part")
+
+
+def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """The groups after two batches, which are those of all patches at once, with their patches and different folds."""
+    return _in_two_batches(spark, sf)[1].select(F.col("first_item").alias("group_id"), F.col("items").alias("patches"), F.size("values").alias("folds"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Token ids of every text."""
     return encode.encode_texts(table(spark, sf, "documents"))
@@ -150,5 +179,5 @@ def p10_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    named = (p1_found, p1_report, p1_sample, p3_found, p3_report, p3_audit, p4_found, p4_survivors, p5_varied, p6_found, p6_splits, p6_parts, p8_ids, p9_found, p9_packed, p9_containers, p10_found, p10_agreement, p10_holdout, p10_stats)
+    named = (p1_found, p1_report, p1_targets, p1_sample, p3_found, p3_report, p3_audit, p4_found, p4_survivors, p5_varied, p6_found, p6_splits, p6_parts, p6_second_batch, p6_groups, p8_ids, p9_found, p9_packed, p9_containers, p10_found, p10_agreement, p10_holdout, p10_stats)
     return {f.__name__: f for f in named}

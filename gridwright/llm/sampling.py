@@ -4,7 +4,8 @@ Systematic unequal-probability sampling. Tasks that agree in all categories form
 gives each cell's inclusion probability. Within a run the tasks stand in a line, cells sorted by category and each cell at
 random; every task takes a stretch as long as its probability, and a task is drawn where the line crosses an integer, counted
 from one random start. Where a cell's stretch lies is a prefix sum over cells, and where a task's lies in it a rank that is
-worked out across partitions. At last, floors that the draw missed are repaired by moving single draws between cells.
+worked out across partitions. At last, draws are moved between cells, as many at once as help, until the floors are met and no
+move brings the shares nearer to the targets; the size stays.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ from pyspark.sql import functions as F
 
 from gridwright.functions.keys import tile_key
 from gridwright.operators.rank import hash_order, latest, rank_in_groups
+from gridwright.operators.skew import join_hot
 from gridwright.session import cut_lineage
 
 FIELDS = ("class_id", "tile_shortname", "pass_type")
 #: The category of whatever has no target in a field.
 OTHER = "*"
 RAKING_ROUNDS = 40
-SALTS = 16
 
 
 def category(field: Column | str, value: Column) -> Column:
@@ -76,34 +77,66 @@ def rake(counts: np.ndarray, keys: list[np.ndarray], targets: list[np.ndarray],
     return draws
 
 
+#: What a draw missing at a floor weighs, against one that a share is off its target.
+FLOOR_WEIGHT = 1000.0
+
+
 def repair(drawn: np.ndarray, counts: np.ndarray, keys: list[np.ndarray], floors: list[np.ndarray], aims: list[np.ndarray]) -> np.ndarray:
-    """Move single draws between cells until each category has its floor, or no move helps. The sum stays if it can.
+    """Move draws from cell to cell until no move lowers what the floors lack, or else the summed distance from the aims.
 
-    A draw is added where it helps most categories below their floor, and taken where none of the cell's categories falls
-    below its floor, the one furthest above its aim first; if nothing can be taken, the sample grows.
+    The sum stays. Category 0 of a field has neither floor nor aim. A move takes as many draws as its gain holds for, so the
+    number of moves depends on the number of categories, not on the size of the sample.
     """
-    drawn = drawn.copy()
+    drawn = np.array(drawn, dtype=float)
     has = [np.bincount(k, drawn, minlength=len(f)).astype(float) for k, f in zip(keys, floors)]
-    for _ in range(int(sum(f.sum() for f in floors)) + 1):
-        lacks = [np.maximum(0, f - h) for f, h in zip(floors, has)]
-        gain = sum((lack > 0)[k].astype(float) for lack, k in zip(lacks, keys))
-        gain = np.where(drawn < counts, gain, 0.0)
-        if gain.max(initial=0.0) <= 0:
-            return drawn
-        add = int(np.argmax(gain))
-        for h, k in zip(has, keys):
-            h[k[add]] += 1
-        drawn[add] += 1
-        can = drawn > 0
-        for h, f, k in zip(has, floors, keys):
-            can &= (h - 1 >= f)[k]
-        can[add] = False
-        if can.any():
-            above = sum((h - a)[k] for h, a, k in zip(has, aims, keys))
-            take = int(np.argmax(np.where(can, above, -np.inf)))
-            for h, k in zip(has, keys):
-                h[k[take]] -= 1
-            drawn[take] -= 1
+
+    def cost(h: np.ndarray, floor: np.ndarray, aim: np.ndarray) -> np.ndarray:
+        out = FLOOR_WEIGHT * np.maximum(0.0, floor - h) + np.abs(h - aim)
+        out[0] = 0.0
+        return out
+
+    def corner(h: np.ndarray, floor: np.ndarray, aim: np.ndarray, step: int) -> np.ndarray:
+        """Draws until the gain of a step up or down changes: to the next aim or floor, 1 at least."""
+        ahead = [np.where((mark - h) * step >= 1, np.floor(np.abs(mark - h)), np.inf) for mark in (floor, aim)]
+        return np.maximum(1.0, np.minimum(*ahead))
+
+    if not len(drawn):
+        return drawn
+    for _ in range(20 * sum(map(len, floors)) + 200):
+        gives, takes = drawn > 0, drawn < counts
+        if not gives.any() or not takes.any():
+            break
+        a, b = np.flatnonzero(gives), np.flatnonzero(takes)
+        gain = np.zeros((len(a), len(b)))
+        for k, h, f, g in zip(keys, has, floors, aims):
+            now = cost(h, f, g)
+            less, more = now - cost(h - 1, f, g), now - cost(h + 1, f, g)
+            gain += np.where(k[a][:, None] == k[b][None, :], 0.0, less[k[a]][:, None] + more[k[b]][None, :])
+        at = int(gain.argmax())
+        if gain.flat[at] <= 1e-9:
+            break
+        x, y = int(a[at // len(b)]), int(b[at % len(b)])
+        many = min(drawn[x], counts[y] - drawn[y])
+        for k, h, f, g in zip(keys, has, floors, aims):
+            if k[x] != k[y]:
+                many = min(many, corner(h, f, g, -1)[k[x]] if k[x] else np.inf, corner(h, f, g, 1)[k[y]] if k[y] else np.inf)
+        many = max(1.0, np.floor(many))
+        drawn[x] -= many
+        drawn[y] += many
+        for k, h in zip(keys, has):
+            h[k[x]] -= many
+            h[k[y]] += many
+    return drawn
+
+
+def fill(drawn: np.ndarray, counts: np.ndarray, size: float) -> np.ndarray:
+    """Draws raised or lowered to the sum ``size``, or to all there is, in the order of the cells."""
+    drawn = np.array(drawn, dtype=float)
+    for change in (counts - drawn, -drawn):
+        lack = min(size, counts.sum()) - drawn.sum()
+        if lack * change.sum() > 0:
+            upto = np.clip(np.cumsum(np.abs(change)), 0, abs(lack))
+            drawn += np.sign(lack) * np.diff(np.concatenate([[0.0], upto]))
     return drawn
 
 
@@ -127,14 +160,14 @@ def cells_and_report(tasks: DataFrame, targets: DataFrame, seed: int = 1) -> tup
                            F.coalesce("target_pct", F.lit(0)).cast("double").alias("pct"), F.coalesce("min_count", F.lit(0)).cast("long").alias("floor"),
                            F.coalesce("sample_size", F.lit(0)).cast("long").alias("size")).where(F.col("run_id").isNotNull())
     known = goals.groupBy("run_id").agg(*[F.collect_set(F.when(F.col("field_name") == f, F.col("key"))).alias(f"{f}_known") for f in FIELDS])
-    known = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    coded = prepared(tasks).where(F.col("run_id").isNotNull()).withColumn("_salt", F.pmod(F.hash("task_key"), F.lit(SALTS)))
-    coded = coded.join(known, ["run_id", "_salt"])
+    # the runs' sizes are counted before delivery is sorted out; a hot run's few rows of targets are copied, the others aren't
+    sizes = tasks.where("run_id is not null and task_key is not null").groupBy("run_id").agg(F.count(F.lit(1)).alias("_rows"))
+    coded = join_hot(prepared(tasks).where(F.col("run_id").isNotNull()), known, ["run_id"], "task_key", sizes=sizes)
     coded = coded.select("run_id", "task_key", *[F.when(F.array_contains(f"{f}_known", F.col(f)), F.col(f)).otherwise(F.lit(OTHER)).alias(f) for f in FIELDS])
     counts = coded.groupBy("run_id", *FIELDS).agg(F.count(F.lit(1)).alias("there"))
 
     def solve(key: tuple, cells: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        columns = ["run_id", "kind", *FIELDS, "there", "start", "expected", "first_drawn", "drawn", "category", "target_pct", "min_count", "sample_size", "required", "selected"]
+        columns = ["run_id", "kind", *FIELDS, "there", "start", "expected", "first_drawn", "drawn", "category", "target_pct", "min_count", "sample_size", "required", "selected", "status", "run_drawn"]
         if wanted.empty:
             return pd.DataFrame(columns=columns)
         size = float(wanted["size"].max())
@@ -159,7 +192,7 @@ def cells_and_report(tasks: DataFrame, targets: DataFrame, seed: int = 1) -> tup
         starts = np.concatenate([[0.0], ends[:-1]])[: len(ends)]
         u = random_start(seed, key[0])
         first = np.floor(ends + u) - np.floor(starts + u)
-        drawn = repair(np.minimum(first, counts), counts, codes, floors, targets)
+        drawn = repair(fill(np.minimum(first, counts), counts, size), counts, codes, floors, targets)
         out = cells.assign(run_id=key[0], kind="cell", start=starts + u, expected=ends - starts, first_drawn=first, drawn=drawn)
         lines = []
         for w in wanted.itertuples(index=False):
@@ -167,17 +200,22 @@ def cells_and_report(tasks: DataFrame, targets: DataFrame, seed: int = 1) -> tup
             code = None if f is None else names[f].get(w.key)
             there = 0.0 if code is None else float(counts[codes[f] == code].sum())
             chosen = 0.0 if code is None else float(drawn[codes[f] == code].sum())
-            lines.append({"run_id": key[0], "kind": w.field_name, "category": w.category, "target_pct": w.pct, "min_count": w.floor, "sample_size": w.size, "there": there, "required": max(float(w.floor), w.size * w.pct / 100), "selected": chosen})
+            required = max(float(w.floor), w.size * w.pct / 100)
+            status = "short" if there < required else "met" if abs(chosen - required) < 1 else "conflict"
+            lines.append({"run_id": key[0], "kind": w.field_name, "category": w.category, "target_pct": w.pct, "min_count": w.floor, "sample_size": w.size, "there": there, "required": required, "selected": chosen, "status": status, "run_drawn": float(drawn.sum())})
         return pd.concat([out, pd.DataFrame(lines)], ignore_index=True).reindex(columns=columns)
 
-    schema = "run_id bigint, kind string, class_id string, tile_shortname string, pass_type string, there double, start double, expected double, first_drawn double, drawn double, category string, target_pct double, min_count double, sample_size double, required double, selected double"
-    solved = counts.groupBy("run_id").cogroup(goals.groupBy("run_id")).applyInPandas(solve, schema)
+    schema = "run_id bigint, kind string, class_id string, tile_shortname string, pass_type string, there double, start double, expected double, first_drawn double, drawn double, category string, target_pct double, min_count double, sample_size double, required double, selected double, status string, run_drawn double"
+    # by number: the runs are small on the wire but cost time, so they aren't to be put together in a few tasks
+    parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    solved = counts.repartition(parts, "run_id").groupBy("run_id").cogroup(goals.repartition(parts, "run_id").groupBy("run_id")).applyInPandas(solve, schema)
     solved = cut_lineage(solved)
     cells = solved.where("kind = 'cell'").select("run_id", *FIELDS, "there", "start", "expected", "first_drawn", "drawn")
     report = solved.where("kind <> 'cell'").select(
         "run_id", F.col("kind").alias("field_name"), "category", "target_pct", F.col("min_count").cast("long").alias("min_count"), F.col("sample_size").cast("long").alias("sample_size"),
         "required", F.col("there").cast("long").alias("available"), F.col("selected").cast("long").alias("selected"),
         (F.col("there") < F.col("required")).alias("short"), F.greatest(F.lit(0.0), F.col("required") - F.col("selected")).alias("missing"),
+        "status", F.col("run_drawn").cast("long").alias("run_drawn"),
     )
     return coded, cells, report
 
@@ -187,7 +225,10 @@ def sample(tasks: DataFrame, targets: DataFrame, seed: int = 1) -> tuple[DataFra
 
     drawn: ``run_id, task_key, class_id, tile_shortname, pass_type``, the category * for what has no target. report: each
     row of ``targets`` with the tasks available and selected, ``short`` where there are fewer tasks than the larger of the
-    floor and the share of the size, and ``missing``, by how many the sample misses that. Runs without targets give no
+    floor and the share of the size, ``missing``, by how many the sample misses that, ``status`` and ``run_drawn``, the size of
+    the run's sample. status is short, met (within one draw) or conflict: there are enough tasks, but the draws that the other
+    targets need don't leave room, and no move of draws brings the run's targets nearer in sum. The sample is never larger
+    than the size, floors or not, and smaller only where a run has fewer tasks. Runs without targets give no
     sample; runs without tasks an empty one, all their targets short. Null categories count as none, null target figures
     as 0, a null run as no run, null keys aren't tasks; a task delivered twice counts once. Categories are compared in one
     spelling. Cells that lack a target in some field are drawn only to fill the size. Empty tables give empty ones.
@@ -195,8 +236,8 @@ def sample(tasks: DataFrame, targets: DataFrame, seed: int = 1) -> tuple[DataFra
     coded, cells, report = cells_and_report(tasks, targets, seed)
     ordered = coded.withColumn("_order", hash_order(F.col("task_key"), seed=seed))
     ranked = rank_in_groups(ordered, ["run_id", *FIELDS], "_order", ["task_key"], "_rank")
-    # cells that draw everything or nothing need no ranks, but all are ranked alike; the join is by cell and salted as ranks are
-    placed = ranked.join(cells, ["run_id", *FIELDS])
+    # the cells know their sizes, so a hot one is dealt out without another count
+    placed = join_hot(ranked, cells, ["run_id", *FIELDS], "task_key", sizes=cells.select("run_id", *FIELDS, "there"), rows="there")
     step = F.col("expected") / F.col("there")
     upto = lambda k: F.floor(F.col("start") + step * k)
     before, upon = upto(F.col("_rank")) - F.floor("start"), upto(F.col("_rank") + 1) - F.floor("start")

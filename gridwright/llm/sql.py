@@ -15,7 +15,7 @@ def _category(name: str, value: str) -> str:
     return f"nullif(CASE {name} WHEN 'tile_shortname' THEN {sheet} WHEN 'class_id' THEN {whole} ELSE {text} END, '')"
 
 
-P1_FOUND = f"""
+_P1 = f"""
 WITH tasks AS (
   SELECT run_id, task_key, class_id, tile_shortname, pass_type FROM (
     SELECT *, row_number() OVER (PARTITION BY task_key ORDER BY ingested_at DESC, recorded_at DESC) AS k FROM width_tasks) WHERE k = 1 AND task_key IS NOT NULL),
@@ -24,12 +24,14 @@ there AS (
     SELECT run_id, 'class_id' AS field_name, {_category("'class_id'", "class_id")} AS key FROM tasks
     UNION ALL SELECT run_id, 'tile_shortname', {_category("'tile_shortname'", "tile_shortname")} FROM tasks
     UNION ALL SELECT run_id, 'pass_type', {_category("'pass_type'", "pass_type")} FROM tasks)
-  WHERE key IS NOT NULL GROUP BY ALL)
-SELECT t.run_id, t.field_name, t.category
-FROM (SELECT *, {_category("field_name", "category")} AS key FROM sampling_targets WHERE run_id IS NOT NULL) t
-LEFT JOIN there USING (run_id, field_name, key)
-WHERE coalesce(there.n, 0) < greatest(coalesce(t.min_count, 0), coalesce(t.sample_size, 0) * coalesce(t.target_pct, 0) / 100.0)
+  WHERE key IS NOT NULL GROUP BY ALL),
+report AS (
+  SELECT t.run_id, t.field_name, t.category, greatest(coalesce(t.min_count, 0), coalesce(t.sample_size, 0) * coalesce(t.target_pct, 0) / 100.0) AS required, coalesce(there.n, 0) AS available
+  FROM (SELECT *, {_category("field_name", "category")} AS key FROM sampling_targets WHERE run_id IS NOT NULL) t
+  LEFT JOIN there USING (run_id, field_name, key))
 """
+P1_FOUND = _P1 + "SELECT run_id, field_name, category FROM report WHERE available < required"
+P1_TARGETS = _P1 + "SELECT run_id, field_name, category, round(CAST(required AS DOUBLE), 6) AS required, available, available < required AS short FROM report"
 
 
 def _has(value: str) -> str:
@@ -50,7 +52,7 @@ FROM r WHERE tile IS NOT NULL GROUP BY tile HAVING count(DISTINCT record_id) >=
 _TILE = f"coalesce({tile_key_sql('tile_shortname')}, upper({clean_sql('tile_shortname')}))"
 _IMAGE = f"coalesce({tile_key_sql('image_path')}, upper(trim(regexp_replace(regexp_replace({clean_sql('image_path')}, '^.*[\\\\/]', ''), '\\.[A-Za-z]{{2,4}}$', ''))))"
 
-P6_FOUND = f"""
+_P6 = f"""
 WITH RECURSIVE p AS (
   SELECT patch_key, split_fold, 'tile:' || {_TILE} AS tile, 'image:' || {_IMAGE} AS image FROM selected_patches WHERE patch_key IS NOT NULL),
 links AS (
@@ -63,8 +65,9 @@ roots AS (SELECT a AS node, min(b) AS root FROM reach GROUP BY a),
 members AS (
   SELECT patch_key, split_fold, coalesce(root, tile, image, 'item:' || patch_key) AS component
   FROM p LEFT JOIN roots ON roots.node = coalesce(p.tile, p.image))
-SELECT min(patch_key) AS group_id FROM members GROUP BY component HAVING count(DISTINCT split_fold) > 1
 """
+P6_FOUND = _P6 + "SELECT min(patch_key) AS group_id FROM members GROUP BY component HAVING count(DISTINCT split_fold) > 1"
+P6_GROUPS = _P6 + "SELECT min(patch_key) AS group_id, count(*) AS patches, CAST(count(DISTINCT split_fold) AS INTEGER) AS folds FROM members GROUP BY component"
 
 P10_STATS = r"""
 WITH w AS (SELECT list(DISTINCT lower(word)) AS words FROM common_words WHERE regexp_full_match(word, '\p{L}+')),
@@ -85,4 +88,4 @@ FROM t, w
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB's SQL by query name."""
-    return {"p1_found": P1_FOUND, "p4_found": P4_FOUND, "p5_varied": diverse.choice_sql(), "p6_found": P6_FOUND, "p10_stats": P10_STATS}
+    return {"p1_found": P1_FOUND, "p1_targets": P1_TARGETS, "p4_found": P4_FOUND, "p5_varied": diverse.choice_sql(), "p6_found": P6_FOUND, "p6_groups": P6_GROUPS, "p10_stats": P10_STATS}

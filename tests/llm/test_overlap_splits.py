@@ -168,6 +168,24 @@ def test_old_parts_hold_without_their_old_items(spark):
     assert {r.item: r.part for r in third[0].collect()} == now
 
 
+def test_a_batch_of_new_items_alone_through_written_tables(spark, tmp_path):
+    rows = [(i, f"KDR_{i // 4:03d}", f"KDR_{i // 4:03d}.png", 5 if i < 16 else None, "", "", "") for i in range(120)]
+    first = grouped_splits.assign(grouped_splits.patch_entities(spark.createDataFrame(rows, PATCHES)), grouped_splits.FOLD_PARTS)
+    grouped_splits.save(first, str(tmp_path / "state"))
+    was = {r.component: r.part for r in grouped_splits.load(spark, str(tmp_path / "state"))[1].collect()}
+    batch = spark.createDataFrame([(1000 + k, f"KDR_{k:03d}", None, None, "", "", "") for k in range(30)], PATCHES)
+    items, groups, table = grouped_splits.assign(grouped_splits.patch_entities(batch), grouped_splits.FOLD_PARTS, earlier=grouped_splits.load(spark, str(tmp_path / "state")))
+    assert {r.component: r.part for r in groups.collect()} == was
+    assert {r.component for r in items.where("item >= 1000").collect()} == set(was) and items.count() == 150
+    assert all(r.part == "test" for r in items.where("item between 1000 and 1003").collect())
+    assert table.count() == 60
+    # names of components hold but where a lesser entity joins
+    more = spark.createDataFrame([(2000, "KDR_003", "KDR_000.png", None, "", "", "")], PATCHES)
+    merged = grouped_splits.component_table(grouped_splits.patch_entities(more), table)
+    assert {r.component for r in merged.where("entity like '%KDR_00%' and entity not like '%KDR_000%'").collect()} >= {"image:KDR_000"}
+    assert merged.where("entity = 'tile:KDR_003'").first().component == "image:KDR_000" and merged.count() == 60
+
+
 def test_old_items_count_in_what_is_lacking(spark):
     first = grouped_splits.assign(grouped_splits.patch_entities(spark.createDataFrame([(i, f"KDR_{i // 4:03d}", None, 1, "", "", "") for i in range(120)], PATCHES)), grouped_splits.FOLD_PARTS)
     batch = spark.createDataFrame([(i, f"KDR_{i // 4:03d}", None, None, "", "", "") for i in range(400, 480)], PATCHES)

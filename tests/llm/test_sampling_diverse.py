@@ -63,6 +63,47 @@ def test_rake_and_repair_by_hand():
     assert fixed.tolist() == [5.0, 2.0, 3.0]
 
 
+def summed_miss(drawn, keys, targets):
+    return sum(np.abs(np.bincount(k, drawn, minlength=len(t)) - t)[1:].sum() for k, t in zip(keys, targets))
+
+
+def test_no_swap_lowers_the_miss_and_the_size_stays():
+    rng = np.random.default_rng(5)
+    for trial in range(25):
+        cells, sizes = 40, (4, 7, 3)
+        keys = [rng.integers(0, n, cells) for n in sizes]
+        counts = rng.integers(0, [30, 3000][trial % 2], cells).astype(float)
+        size = min(100 * [1, 100][trial % 2], counts.sum())
+        targets = [np.concatenate([[0], size * rng.dirichlet(np.ones(n - 1))]) for n in sizes]
+        floors = [np.minimum(rng.integers(0, 4, n), np.bincount(k, counts, minlength=n)) for k, n in zip(keys, sizes)]
+        start = sampling.fill(np.floor(counts * size / counts.sum()), counts, size)
+        got = sampling.repair(start, counts, keys, floors, targets)
+        assert got.sum() == start.sum() == size and (got >= 0).all() and (got <= counts).all() and np.array_equal(got, np.floor(got))
+        miss = summed_miss(got, keys, targets)
+        lacks = lambda d: sum(np.maximum(0, f - np.bincount(k, d, minlength=len(f)))[1:].sum() for k, f in zip(keys, floors))  # noqa: B023, E731
+        for a in np.flatnonzero(got > 0):
+            for b in np.flatnonzero(got < counts):
+                other = got.copy()
+                other[a] -= 1
+                other[b] += 1
+                assert (lacks(other), summed_miss(other, keys, targets) + 1e-6) >= (lacks(got), miss)
+
+
+def test_targets_that_contradict_each_other_are_named(spark):
+    # every task of class 0 is on KDR_001, but class 0 is to be 80 per cent and KDR_001 20
+    rows = [(i, 1, i % 2, ["KDR_001", "KDR_002"][i % 2], "primary") for i in range(400)]
+    goals = [(1, "class_id", "0", 80, 0, 100), (1, "class_id", "1", 20, 0, 100), (1, "tile_shortname", "KDR_001", 20, 0, 100), (1, "tile_shortname", "KDR_002", 80, 0, 100), (1, "pass_type", "primary", 100, 0, 100)]
+    drawn, report = sampling.sample(*made(spark, rows, goals))
+    lines = report.collect()
+    assert drawn.count() == 100 and {r.run_drawn for r in lines} == {100}
+    assert not any(r.short for r in lines) and {r.status for r in lines if r.field_name == "pass_type"} == {"met"}
+    assert sum(r.status == "conflict" for r in lines) >= 2
+    # floors that add up to more than the size don't raise it
+    goals = [(1, "class_id", "0", 50, 70, 100), (1, "class_id", "1", 50, 70, 100)]
+    drawn, report = sampling.sample(*made(spark, rows, goals))
+    assert drawn.count() == 100 and sorted(r.selected for r in report.collect())[0] >= 30
+
+
 TILES = "tile_id long, year int, city string, lon double, lat double, draw string, cell int"
 RECORDS = "record_id long, year double, city string, ul_x double, ul_y double, lr_x double, lr_y double, cell int"
 

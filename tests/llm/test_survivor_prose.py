@@ -4,6 +4,7 @@ import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridwright.llm import prose, survivor
 from gridwright.llm.holdout import DRAWN, HOLDOUT
@@ -48,11 +49,47 @@ def test_values_by_posterior_and_units(spark):
     assert fused(spark, [r for r in rows if r[0] < 0] or [record(None)]) == {}
 
 
+def test_a_planted_copier_is_found_and_outvoted(spark):
+    """Honest sources of accuracy 0.8 and 0.7, one of 0.5 and two that copy it; 400 tiles with three fields."""
+    rng = np.random.default_rng(11)
+    truth, rows = {}, []
+    honest = {"a": 0.8, "b": 0.8, "c": 0.8, "d": 0.7, "poor": 0.5}
+    for tile in range(400):
+        for field in ("city", "year", "filename"):
+            true = truth[tile, field] = f"{field}-{tile}-true"
+            wrong = lambda: f"{field}-{tile}-{rng.integers(20)}"  # noqa: B023, E731
+            said = {s: true if rng.random() < p else wrong() for s, p in honest.items()}
+            for copier in ("copy1", "copy2"):
+                said[copier] = said["poor"] if rng.random() < 0.9 else (true if rng.random() < 0.4 else wrong())
+            rows += [(str(tile), k, AT[0], s, 1, field, v, v) for k, (s, v) in enumerate(said.items())]
+    claims = spark.createDataFrame(rows, "tile string, record_id long, recorded_at timestamp_ntz, source string, rank long, field string, value string, shown string")
+    believed, accuracy, dependence = survivor.fuse(claims)
+    copied = {("copy1", "copy2"), ("copy1", "poor"), ("copy2", "poor")}
+    assert all((p > 0.9) == (k in copied) for k, p in dependence.items()) and copied <= set(dependence)
+    assert all(abs(accuracy[s] - a) < 0.06 for s, a in honest.items())
+    votes = {}
+    for r in believed.collect():
+        votes.setdefault((int(r.tile), r.field), []).append((r.belief, len(r.sources), r.value))
+    right = np.mean([max(v)[2] == truth[k] for k, v in votes.items()])
+    majority = np.mean([max(v, key=lambda x: (x[1], x[2]))[2] == truth[k] for k, v in votes.items()])
+    assert right > 0.97 and right > majority + 0.05
+
+
+def test_shared_false_values_tell_copies_shared_true_ones_do_not(spark):
+    row = spark.range(1).select(survivor.copying(F.lit(30), F.lit(5)).alias("copies"), survivor.copying(F.lit(0), F.lit(20)).alias("apart"), survivor.copying(F.lit(0), F.lit(0)).alias("unseen")).first()
+    assert row.copies > 0.9 > 0.2 > row.unseen > 0.05 > row.apart
+
+
 def test_copied_votes_count_less():
-    plain = survivor.vote_table([0.8, 0.8, 0.8], {})
-    copied = survivor.vote_table([0.8, 0.8, 0.8], {(0, 1): 1.0})
-    assert copied[0b011] < plain[0b011] and copied[0b101] == plain[0b101] and plain[0] == 0
-    assert survivor.dependent(0.8, 0.8, 10, 30, 5) > 0.9 > 0.1 > survivor.dependent(0.8, 0.8, 40, 0, 20)
+    alike = dict.fromkeys("abc", 0.8)
+    plain, copied = (survivor.vote_confidence(("a", "b"), alike, d) for d in ({}, {("a", "b"): 1.0}))
+    assert copied < plain and survivor.vote_confidence(("a", "c"), alike, {("a", "b"): 1.0}) == plain and survivor.vote_confidence((), alike, {}) == 0
+
+
+def test_many_sources(spark):
+    rows = [record(k, city="Au" if k % 3 else "Berg", source=f"s{k}") for k in range(60)]
+    got = fused(spark, rows)
+    assert got["KDR_001"].city == "Au" and got["KDR_001"].records == 60
 
 
 COMMON = [("de", w) for w in "der die das und in von zu ist nicht ein eine auf auch wie aus wo".split()] + [("en", w) for w in "the of and to in is was it with as on by are not but so".split()] + [("fr", w) for w in "la le de et ne pas que sur".split()] + [("pl", w) for w in "i w z na nie do jest bo".split()]
