@@ -42,6 +42,29 @@ def boxes_within(df: DataFrame, key: str, least_km: float, cell_km: float | None
     return met.select(F.col(f"{key}_a").alias("a"), F.col(f"{key}_b").alias("b"), edge_km(box("_a"), box("_b")).alias("edge_km")).where(F.col("edge_km") < least_km)
 
 
+def boxes_within_groups(df: DataFrame, key: str, group: str, radius_km: str, size_km: float = 10.0) -> DataFrame:
+    """``group, a, b, edge_km`` for each two rectangles of a group less than the group's own ``radius_km`` apart, a < b.
+
+    As :func:`boxes_within`, by an equi-join on group and grid cell; the cells of a group are as large as its radius and
+    ``size_km``, about the size of a rectangle, so one group with a wide radius doesn't slow the others. Rows with nulls
+    match nothing.
+    """
+    rows = df.where(F.col(key).isNotNull() & F.col(group).isNotNull() & (F.col(radius_km) > 0) & (F.col("maxx") >= F.col("minx")) & (F.col("maxy") >= F.col("miny")))
+    rows = rows.select(group, F.col(key).alias("id"), "minx", "maxx", "miny", "maxy", (F.col(radius_km) * 1000).alias("wide"), ((F.col(radius_km) + size_km) * 1000).alias("cell"))
+    at = lambda c, add: F.floor((F.col(c) + add) / F.col("cell")).cast("long")
+
+    def placed(widen) -> DataFrame:
+        x, y = F.sequence(at("minx", -widen), at("maxx", widen)), F.sequence(at("miny", -widen), at("maxy", widen))
+        return rows.select("*", F.explode(x).alias("cx")).select("*", F.explode(y).alias("cy"))
+
+    a = placed(F.col("wide")).select(group, "cx", "cy", "wide", "cell", *[F.col(c).alias(f"{c}_a") for c in ("id", "minx", "maxx", "miny", "maxy")])
+    b = placed(F.lit(0.0)).select(group, "cx", "cy", *[F.col(c).alias(f"{c}_b") for c in ("id", "minx", "maxx", "miny", "maxy")])
+    met = a.join(b, [group, "cx", "cy"]).where("id_a < id_b")
+    first = lambda low: F.floor(F.greatest(F.col(f"{low}_a") - F.col("wide"), F.col(f"{low}_b")) / F.col("cell"))
+    met = met.where((F.col("cx") == first("minx")) & (F.col("cy") == first("miny"))).withColumn("edge_km", edge_km(box("_a"), box("_b")))
+    return met.where(F.col("edge_km") * 1000 < F.col("wide")).select(group, F.col("id_a").alias("a"), F.col("id_b").alias("b"), "edge_km")
+
+
 def spatial_components(df: DataFrame, key: str, least_km: float) -> DataFrame:
     """``key, component`` for all rows: rectangles linked by gaps under the distance; the component is its smallest key."""
     found = connected_components(boxes_within(df, key, least_km), "a", "b")
