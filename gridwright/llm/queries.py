@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwright.llm import diverse, encode, grouped_splits, overlap, packing, prose, sampling, survivor
-from gridwright.operators import splits
 from gridwright.session import shared_folder, table
 
 
@@ -53,22 +52,35 @@ def p3_report(spark: SparkSession, sf: str) -> DataFrame:
 def p3_audit(spark: SparkSession, sf: str) -> DataFrame:
     """The recorded violations of each run beside the pairs of different splits nearer than its distance, and beside the
     overlaps found. Records without bounds are in no near pair."""
-    members, _ = overlap.classes(table(spark, sf, "split_records"))
-    found = overlap.cross_split_pairs(members).groupBy("run_id").agg(F.count_distinct("record_a", "record_b").alias("pairs_found"), F.count_distinct("held_id").alias("held_out_found"))
-    audits = table(spark, sf, "split_audits").select("run_id", F.col("violations_count").alias("recorded"), "d_leak_km")
-    rows = overlap.normalised(table(spark, sf, "split_records")).join(audits.select("run_id", "d_leak_km"), "run_id").where("split is not null")
-    # runs are moved apart in the plane, so one grid serves them all
-    x = lambda c: F.col(c) + F.col("run_id") * 1e8
-    boxes = rows.select("record_id", "split", "run_id", "d_leak_km", x("ul_x").alias("minx"), x("lr_x").alias("maxx"), F.col("lr_y").alias("miny"), F.col("ul_y").alias("maxy"))
-    widest = audits.agg(F.max("d_leak_km")).first()[0] or 1e-3  # one number
-    near = splits.boxes_within(boxes, "record_id", widest, widest + 12.0)
-    side = lambda k: boxes.select(F.col("record_id").alias(k), F.col("split").alias(f"split_{k}"), "run_id", "d_leak_km")
-    met = near.join(side("a"), "a").join(side("b").drop("run_id", "d_leak_km"), "b").where("split_a <> split_b and edge_km < d_leak_km")
-    counts = met.groupBy("run_id").agg(F.count(F.lit(1)).alias("near_pairs"))
-    out = audits.join(found, "run_id", "left").join(counts, "run_id", "left")
+    records, audits = table(spark, sf, "split_records"), table(spark, sf, "split_audits")
+    found = overlap.overlap_counts(overlap.classes(records)[0])
+    near = overlap.split_minima(records, audits).select("run_id", "near_pairs")
+    out = audits.select("run_id", F.col("violations_count").alias("recorded")).join(found, "run_id", "left").join(near, "run_id", "left")
     return out.select("run_id", "recorded", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("near_pairs", "pairs_found", "held_out_found")])
 
 
+def p3_minima(spark: SparkSession, sf: str) -> DataFrame:
+    """The least distance between each two splits of a run, worked out from its records, beside the recorded figures.
+
+    status is the first that holds for one of the three figures: stale, mis-scaled (1000 times too large or small), not
+    recorded; else agrees.
+    """
+    audits = table(spark, sf, "split_audits")
+    kinds = [f"min_{t}_km" for t in overlap.PAIR_TYPES]
+    ours = overlap.split_minima(table(spark, sf, "split_records"), audits).select("run_id", "near_pairs", *[F.round(k, 6).alias(k) for k in kinds])
+    told = audits.select("run_id", "violations_count", *[F.when(~F.isnan(k), F.col(k)).alias(f"recorded_{k}") for k in kinds])
+    near = lambda x, y: F.abs(x - y) <= 0.001 * F.greatest(F.lit(1.0), y)
+    state = []
+    for k in kinds:
+        x, y = F.col(f"recorded_{k}"), F.col(k)
+        state.append(F.when(x.isNull() & y.isNotNull(), "not recorded").when(x.isNull() | F.coalesce(near(x, y), F.lit(False)), "agrees").when((y > 0) & (near(x, y * 1000) | (F.abs(x * 1000 - y) <= 0.001 * y)), "mis-scaled").otherwise("stale"))
+    order = ("stale", "mis-scaled", "not recorded")
+    status = F.lit("agrees")
+    for name in reversed(order):
+        status = F.when(F.array_contains(F.array(*state), name), name).otherwise(status)
+    return ours.join(told, "run_id").withColumn("status", status)
+
+
 def p4_survivors(spark: SparkSession, sf: str) -> DataFrame:
     """One fused record for each sheet."""
     return survivor.survivors(table(spark, sf, "real_tiles_metadata"), table(spark, sf, "source_trust"), table(spark, sf, "unit_factors"))
@@ -179,5 +191,5 @@ def p10_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    named = (p1_found, p1_report, p1_targets, p1_sample, p3_found, p3_report, p3_audit, p4_found, p4_survivors, p5_varied, p6_found, p6_splits, p6_parts, p6_second_batch, p6_groups, p8_ids, p9_found, p9_packed, p9_containers, p10_found, p10_agreement, p10_holdout, p10_stats)
+    named = (p1_found, p1_report, p1_targets, p1_sample, p3_found, p3_report, p3_audit, p3_minima, p4_found, p4_survivors, p5_varied, p6_found, p6_splits, p6_parts, p6_second_batch, p6_groups, p8_ids, p9_found, p9_packed, p9_containers, p10_found, p10_agreement, p10_holdout, p10_stats)
     return {f.__name__: f for f in named}

@@ -34,6 +34,33 @@ P1_FOUND = _P1 + "SELECT run_id, field_name, category FROM report WHERE availabl
 P1_TARGETS = _P1 + "SELECT run_id, field_name, category, round(CAST(required AS DOUBLE), 6) AS required, available, available < required AS short FROM report"
 
 
+def _near(x: str, y: str) -> str:
+    return f"abs({x} - {y}) <= 0.001 * greatest(1.0, {y})"
+
+
+_KINDS = ("train_val", "train_test", "val_test")
+_STATE = ", ".join(
+    f"CASE WHEN recorded_min_{t}_km IS NULL AND min_{t}_km IS NOT NULL THEN 'not recorded' WHEN recorded_min_{t}_km IS NULL OR coalesce({_near(f'recorded_min_{t}_km', f'min_{t}_km')}, false) THEN 'agrees' "
+    f"WHEN min_{t}_km > 0 AND ({_near(f'recorded_min_{t}_km', f'min_{t}_km * 1000')} OR abs(recorded_min_{t}_km * 1000 - min_{t}_km) <= 0.001 * min_{t}_km) THEN 'mis-scaled' ELSE 'stale' END"
+    for t in _KINDS
+)
+P3_MINIMA = f"""
+WITH r AS (
+  SELECT record_id, run_id, CASE WHEN s IN ('val', 'valid', 'validation', 'dev') THEN 'val' WHEN s IN ('test', 'testing') THEN 'test' WHEN s IN ('train', 'training') THEN 'train' END AS split, ul_x, ul_y, lr_x, lr_y
+  FROM (SELECT *, lower(trim(split_name)) AS s FROM split_records) WHERE record_id IS NOT NULL AND NOT isnan(ul_x) AND NOT isnan(ul_y) AND NOT isnan(lr_x) AND NOT isnan(lr_y) AND lr_x >= ul_x AND ul_y >= lr_y),
+p AS (
+  SELECT a.run_id, CASE WHEN 'train' IN (a.split, b.split) THEN CASE WHEN 'val' IN (a.split, b.split) THEN 'train_val' ELSE 'train_test' END ELSE 'val_test' END AS kind,
+    sqrt(pow(greatest(a.ul_x - b.lr_x, b.ul_x - a.lr_x, 0), 2) + pow(greatest(a.lr_y - b.ul_y, b.lr_y - a.ul_y, 0), 2)) / 1000 AS km
+  FROM r a JOIN r b ON a.run_id = b.run_id AND a.record_id < b.record_id AND a.split <> b.split),
+m AS (SELECT run_id, {", ".join(f"round(min(km) FILTER (WHERE kind = '{t}'), 6) AS min_{t}_km" for t in _KINDS)}, count(*) FILTER (WHERE km < d_leak_km) AS near_pairs FROM p JOIN split_audits USING (run_id) GROUP BY run_id),
+b AS (
+  SELECT run_id, coalesce(near_pairs, 0) AS near_pairs, {", ".join(f"m.min_{t}_km" for t in _KINDS)}, violations_count, {", ".join(f"CASE WHEN NOT isnan(a.min_{t}_km) THEN a.min_{t}_km END AS recorded_min_{t}_km" for t in _KINDS)}
+  FROM split_audits a LEFT JOIN m USING (run_id)),
+c AS (SELECT *, [{_STATE}] AS states FROM b)
+SELECT * EXCLUDE (states), CASE WHEN list_contains(states, 'stale') THEN 'stale' WHEN list_contains(states, 'mis-scaled') THEN 'mis-scaled' WHEN list_contains(states, 'not recorded') THEN 'not recorded' ELSE 'agrees' END AS status FROM c
+"""
+
+
 def _has(value: str) -> str:
     return f"(CASE WHEN {clean_sql(f'CAST({value} AS VARCHAR)')} IS NULL THEN 0 ELSE 1 END)"
 
@@ -88,4 +115,4 @@ FROM t, w
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB's SQL by query name."""
-    return {"p1_found": P1_FOUND, "p1_targets": P1_TARGETS, "p4_found": P4_FOUND, "p5_varied": diverse.choice_sql(), "p6_found": P6_FOUND, "p6_groups": P6_GROUPS, "p10_stats": P10_STATS}
+    return {"p1_found": P1_FOUND, "p1_targets": P1_TARGETS, "p3_minima": P3_MINIMA, "p4_found": P4_FOUND, "p5_varied": diverse.choice_sql(), "p6_found": P6_FOUND, "p6_groups": P6_GROUPS, "p10_stats": P10_STATS}

@@ -96,6 +96,37 @@ def test_same_city_year_and_place_without_the_right_number(spark, monkeypatch, h
     assert pairs_of(spark, rows)[0] == {(1, 3), (2, 4), (6, 7)}
 
 
+def test_minima_of_runs_near_and_far(spark):
+    rows = [
+        record(1, "train"), record(2, "Val", x=1_009_400.0), record(3, "test", x=1_500_000.0), record(4, "test", x=1_500_000.0), record(5, "val", x=None),  # 0.4 km, 491 km
+        record(6, "train", run=2), record(7, "training", x=1_000_001.0, run=2), record(8, "test", x=9_000_000.0, run=2), record(9, "val", run=3), record(10, "odd", run=3), record(11, "train", run=None),
+    ]
+    audits = spark.createDataFrame([(1, 0.5), (2, None), (3, 1.0), (4, 1.0)], "run_id long, d_leak_km double")
+    got = {r.run_id: (r.min_train_val_km, r.min_train_test_km, r.min_val_test_km, r.near_pairs) for r in overlap.split_minima(spark.createDataFrame(rows, SCHEMA), audits).collect()}
+    assert got[1] == pytest.approx((0.4, 491.0, 481.6, 1)) and got[2] == (None, pytest.approx(7990.999), None, 0)
+    assert got[3] == got[4] == (None, None, None, 0)
+    assert overlap.split_minima(spark.createDataFrame([], SCHEMA), audits).count() == 4
+    members, _ = overlap.classes(spark.createDataFrame(rows, SCHEMA).where("record_id is not null"))
+    pairs = overlap.cross_split_pairs(members)
+    counts = {r.run_id: (r.pairs_found, r.held_out_found) for r in overlap.overlap_counts(members).collect()}
+    assert sum(n for n, _ in counts.values()) == pairs.count() and sum(m for _, m in counts.values()) == pairs.select("held_id").distinct().count()
+
+
+def test_records_without_place_on_a_hot_sheet(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "HOT", 2)
+    rows = [record(i, "train" if i % 2 else "val", x=1_000_000.0 + 9_000 * i, year=1901 + i % 2) for i in range(12)]
+    rows += [record(50, "test", x=None, year=1901), record(51, "val", x=None, year=None, city=None), record(52, "train", x=None, year=1955), record(53, "test", x=None, city="Berg")]
+    assert pairs_of(spark, rows)[0] == brute_null(rows)
+
+
+def brute_null(rows):
+    """Pairs of the rows above: those without place tie all records of the sheet with their city and nearly their year."""
+    tied = [r for r in rows if r[0] not in (52, 53)]
+    tied += [r for r in rows if r[0] == 52]  # it fits the record without city and year
+    tied += [r for r in rows if r[0] == 53]  # and so does another city
+    return {(min(a[0], b[0]), max(a[0], b[0])) for a in tied for b in tied if a[2] == "train" and b[2] != "train"}
+
+
 def test_overlap_of_nothing(spark):
     members, links = overlap.classes(spark.createDataFrame([], SCHEMA))
     assert members.count() == links.count() == overlap.overlap_report(members, links).count() == 0
