@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 HOT_SHARE, LEAST_ROWS = 0.001, 20_000
 
 
-def hot_keys(sizes: DataFrame, keys: list[str], rows: str) -> DataFrame:
-    """``keys, _parts`` of the hot keys among ``sizes``, which has one row a key and its number of ``rows``."""
-    total = sizes.agg(F.sum(rows)).first()[0] or 0
-    least = max(total * HOT_SHARE, LEAST_ROWS)
+def hot_keys(sizes: DataFrame, keys: list[str], rows: str) -> DataFrame | None:
+    """``keys, _parts`` of the hot keys among ``sizes``, which has one row a key and its number of ``rows``; None if none is."""
+    whole = sizes.agg(F.sum(rows).alias("all"), F.max(rows).alias("most")).first()
+    least = max((whole["all"] or 0) * HOT_SHARE, LEAST_ROWS)
+    if (whole["most"] or 0) <= least:
+        return None
     return sizes.where(F.col(rows) > least).select(*keys, F.ceil(F.col(rows) / least).cast("int").alias("_parts"))
 
 
@@ -27,6 +29,8 @@ def join_hot(big: DataFrame, small: DataFrame, keys: list[str], spread: str, how
     if sizes is None:
         sizes = big.groupBy(*keys).agg(F.count(F.lit(1)).alias(rows))
     hot = hot_keys(sizes, keys, rows)
+    if hot is None:
+        return big.join(small, keys, how)
     dealt = big.join(F.broadcast(hot), keys, "left")
     null, number = F.lit(False), F.xxhash64(F.col(spread))
     for key in keys:
