@@ -188,10 +188,11 @@ def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     leading = F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(JOINED_FIELDS - 1)), lambda f: F.try_element_at("digests", F.nullif(F.array_position("fields", f), F.lit(0)).cast("int"))))
     anchors = nodes.select("run_id", F.explode(leading).alias("digest"), packed)
     often = cut_lineage(anchors.groupBy("run_id", "digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).drop("n"))
-    cool = anchors.join(often, ["run_id", "digest"], "left_anti")
+    none_hot = often.isEmpty()
+    cool = anchors if none_hot else anchors.join(often, ["run_id", "digest"], "left_anti")
     pairs = cool.alias("l").join(cool.alias("m"), (F.col("l.run_id") == F.col("m.run_id")) & (F.col("l.digest") == F.col("m.digest")) & (F.col("l.r.node") < F.col("m.r.node")))
     pairs = pairs.select(F.col("l.r").alias("x"), F.col("m.r").alias("y"))
-    if not often.isEmpty():
+    if not none_hot:
         # A hot digest counts together with the place: who matches and has bounds is in the same square or one of the eight
         # around it. Who has none is tied to whole groups instead of to each of their records.
         hot = anchors.join(often, ["run_id", "digest"], "left_semi")
@@ -207,7 +208,7 @@ def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     is_in = lambda key, kind, side: F.coalesce(F.col(f"{side}.{kind}").contains(F.concat(F.col(f"{key}.key"), F.lit(" "))), F.lit(False))
     weak = lambda p, q: F.col(f"{p}.key").isNull() | (F.coalesce(F.col("x.key") != F.col("y.key"), F.lit(False)) & is_in(p, "dropped", q) & ~is_in(p, "swaps", q))
     links = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.key").alias("key_a"), F.col("y.key").alias("key_b"), weak("x", "y").alias("weak_a"), weak("y", "x").alias("weak_b"), gap.alias("gap"))
-    if not often.isEmpty():
+    if not none_hot:
         links = links.union(_without_place(hot, packed))
     links = _shared(cut_lineage(links.dropDuplicates(["a", "b"])), nodes).where(F.greatest("share_a", "share_b") >= LEAST_SHARE)
     links = _without_bridges(cut_lineage(links)).select("a", "b", "shared", "share_a", "share_b")
