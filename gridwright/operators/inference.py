@@ -20,7 +20,7 @@ MOST_FLIPS = 20
 
 def sign_test(deltas: Sequence[float]) -> float:
     """Exact two-sided p-value; zeros are left out, none left give 1."""
-    plus, minus = sum(d > 0 for d in deltas), sum(d < 0 for d in deltas)
+    plus, minus = sum(d > 1e-12 for d in deltas), sum(d < -1e-12 for d in deltas)
     n, k = plus + minus, min(plus, minus)
     return 1.0 if n == 0 else min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n)
 
@@ -64,23 +64,51 @@ def cohens_d(a: Sequence[float], b: Sequence[float]) -> float:
     return float((a.mean() - b.mean()) / pooled) if pooled > 0 else 0.0
 
 
-def standardised_delta(mean: Column, deviation: Column) -> Column:
-    """Mean over deviation of paired differences; 0 for no difference at all, infinite for a constant one."""
-    return F.when(deviation > 0, mean / deviation).when(mean > 0, float("inf")).when(mean < 0, float("-inf")).otherwise(0.0)
+#: A mean or deviation up to this is none.
+NOTHING = 1e-12
 
 
-def paired_endpoints(rows: DataFrame, key: str, scenario: str, value: str, first: str, second: str, *by: str) -> DataFrame:
-    """``by, pairs, mean_delta, std_delta, standardised, p_value``: second minus first scenario of equal keys, averaged within a key."""
+def standardised_delta(mean: Column, deviation: Column, pairs: Column) -> Column:
+    """Mean over deviation of paired differences; 0 for no difference at all, infinite for a constant one, NaN for one pair."""
+    constant = F.when(mean > NOTHING, float("inf")).when(mean < -NOTHING, float("-inf")).otherwise(0.0)
+    return F.when(pairs < 2, float("nan")).when(deviation > NOTHING, mean / deviation).otherwise(constant)
+
+
+def paired_deltas(rows: DataFrame, key: str, scenario: str, value: str, first: str, second: str, *by: str) -> DataFrame:
+    """``by, key, delta``: the value of the second scenario minus that of the first, for keys that have both; a key's several
+    values of one scenario are averaged."""
     wide = rows.groupBy(*by, key).agg(F.avg(F.when(F.col(scenario) == first, F.col(value))).alias("_a"), F.avg(F.when(F.col(scenario) == second, F.col(value))).alias("_b"))
-    deltas = wide.where("_a is not null and _b is not null").withColumn("_d", F.col("_b") - F.col("_a"))
-    up, down = F.count_if(F.col("_d") > 0), F.count_if(F.col("_d") < 0)
-    out = deltas.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"), F.avg("_d").alias("mean_delta"), F.coalesce(F.stddev_samp("_d"), F.lit(0.0)).alias("std_delta"), up.alias("_up"), down.alias("_down"))
+    return wide.where("_a is not null and _b is not null").select(*by, key, (F.col("_b") - F.col("_a")).alias("delta"))
+
+
+def delta_summary(deltas: DataFrame, *by: str) -> DataFrame:
+    """``by, pairs, mean_delta, median_delta, std_delta, standardised, direction`` of paired differences."""
+    one = deltas.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"), F.avg("delta").alias("mean_delta"), F.expr("percentile(delta, 0.5)").alias("median_delta"), F.coalesce(F.stddev_samp("delta"), F.lit(0.0)).alias("std_delta"))
+    direction = F.when(F.col("mean_delta") > 0, "second").when(F.col("mean_delta") < 0, "first").otherwise("no_change")
+    return one.withColumn("standardised", standardised_delta(F.col("mean_delta"), F.col("std_delta"), F.col("pairs"))).withColumn("direction", direction)
+
+
+def paired_endpoints(rows: DataFrame, key: str, scenario: str, value: str, first: str, second: str, *by: str) -> DataFrame:
+    """``by, pairs, mean_delta, std_delta, standardised, p_value``: second minus first scenario of equal keys, averaged within a key.
+
+    p_value is that of the exact sign-flip test for up to ``MOST_FLIPS`` pairs, whose differences alone are gathered, and of
+    the sign test, from two counts, for more.
+    """
+    deltas = paired_deltas(rows, key, scenario, value, first, second, *by)
+    up, down = F.count_if(F.col("delta") > NOTHING), F.count_if(F.col("delta") < -NOTHING)
+    counts = deltas.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), up.alias("_up"), down.alias("_down"))
+    few = deltas.join(counts.where(F.col("_n") <= MOST_FLIPS).select(*by), list(by), "left_semi") if by else deltas.limit(MOST_FLIPS + 1)
+    few = few.groupBy(*by).agg(F.array_sort(F.collect_list("delta")).alias("_few"))
 
     @F.pandas_udf("double")
-    def p_value(ups: pd.Series, downs: pd.Series) -> pd.Series:
-        return pd.Series([sign_test([1.0] * int(u) + [-1.0] * int(d)) for u, d in zip(ups, downs)], dtype="float64")
+    def p_value(ups: pd.Series, downs: pd.Series, all_of_few: pd.Series) -> pd.Series:
+        out = []
+        for u, d, few in zip(ups, downs, all_of_few):
+            out.append(sign_flip_test(few) if few is not None and len(few) <= MOST_FLIPS else sign_test([1.0] * int(u) + [-1.0] * int(d)))
+        return pd.Series(out, dtype="float64")
 
-    return out.select(*by, "pairs", "mean_delta", "std_delta", standardised_delta(F.col("mean_delta"), F.col("std_delta")).alias("standardised"), p_value("_up", "_down").alias("p_value"))
+    both = delta_summary(deltas, *by).join(counts, list(by)).join(few, list(by), "left") if by else delta_summary(deltas).crossJoin(counts).crossJoin(few)
+    return both.select(*by, "pairs", "mean_delta", "std_delta", "standardised", p_value("_up", "_down", "_few").alias("p_value"))
 
 
 def bootstrap(rows: DataFrame, by: str, value: str, replicates: int, seed: int = 0, statistic: Callable[[np.ndarray], float] = np.mean) -> DataFrame:

@@ -5,21 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridwright.operators.pairs import dot, euclidean, feature_pairs, norm
+
 #: Fixed value: the years counted as war years.
 WAR_YEARS = (1914, 1918)
 DEFAULT_DISTANCE_KM = 28.0
 
 
+def war_share(year: Column) -> Column:
+    """The percentage of war years among the years that aren't null, 0 if all are."""
+    return F.coalesce(F.try_divide(F.count_if(year.between(*WAR_YEARS)) * 100.0, F.count(year).cast("double")), F.lit(0.0))
+
+
 def selection_metrics(selected: DataFrame, run: str) -> DataFrame:
-    """One row a run: size, spread of the years (sample deviation, 0 for one), range, share of war years, mean and least
-    distance of centres in km (0 for one), clusters covered. A null year counts in the size only.
+    """One row a run: size, spread of the years (sample deviation, 0 for one), range (0 for one or none), share of war years
+    among the years known (0 for none), mean and least distance of centres in km (0 for one), clusters covered.
 
     ``selected`` has the run, row_id, center_x, center_y, year and label. The members of a run meet as two sides of an
     equi-join on the run; a selection is small by its nature.
     """
     one = selected.groupBy(run).agg(
-        F.count(F.lit(1)).alias("n_selected"), F.coalesce(F.stddev_samp("year"), F.lit(0.0)).alias("temporal_std"), (F.max("year") - F.min("year")).alias("temporal_range"),
-        (F.count_if(F.col("year").between(*WAR_YEARS)) * 100.0 / F.count(F.lit(1))).alias("wwi_percent"), F.count_distinct("label").alias("clusters_covered"),
+        F.count(F.lit(1)).alias("n_selected"), F.coalesce(F.stddev_samp("year"), F.lit(0.0)).alias("temporal_std"), F.coalesce(F.max("year") - F.min("year"), F.lit(0)).alias("temporal_range"),
+        war_share(F.col("year")).alias("wwi_percent"), F.count_distinct("label").alias("clusters_covered"),
     )
     side = lambda s: selected.select(run, *[F.col(c).alias(f"{c}{s}") for c in ("row_id", "center_x", "center_y")])
     met = side("_a").join(side("_b"), run).where("row_id_a < row_id_b")
@@ -33,16 +40,46 @@ def spread(df: DataFrame, *groups: str) -> DataFrame:
     return df.groupBy(*groups).agg(((F.stddev_samp("center_x") + F.stddev_samp("center_y")) / 2).alias("spread_m"))
 
 
-def normalised_objective(metrics: DataFrame, base: DataFrame, diversity: float = 0.5, spatial: float = 0.5) -> DataFrame:
-    """Add ``objective_score``: spread of years and places over those of the whole pool, weighted; a tenth of the filled
-    share of it where fewer than ``k`` were selected. Baselines that are 0 or null count as 1."""
-    whole = base.agg(F.stddev_samp("year").alias("_years"), ((F.stddev_samp("center_x") + F.stddev_samp("center_y")) / 2000).alias("_km"))
-    positive = lambda c: F.coalesce(F.when(F.col(c) > 0, F.col(c)), F.lit(1.0))
-    both = metrics.crossJoin(F.broadcast(whole))  # one row
-    total = diversity + spatial
-    score = (F.col("temporal_std") / positive("_years") * diversity + F.col("spatial_mean_km") / positive("_km") * spatial) / total
-    filled = F.col("n_selected") / F.col("k")
-    return both.withColumn("objective_score", F.when(filled < 1, score * filled * 0.1).otherwise(score)).drop("_years", "_km")
+def mean_feature_distance(selected: DataFrame, run: str, metric: str = "euclidean") -> DataFrame:
+    """``run, diversity``: the mean distance of the feature vectors of each two members of a run; a run of one gives none.
+
+    The members of a run meet by an equi-join on the run; a selection is small by its nature.
+    """
+    side = lambda s: selected.select(run, F.col("row_id").alias(f"id{s}"), F.col("features").alias(f"f{s}"))
+    apart = euclidean("f_a", "f_b") if metric == "euclidean" else F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - dot("f_a", "f_b") / F.when(norm("f_a") * norm("f_b") == 0, 1.0).otherwise(norm("f_a") * norm("f_b"))))
+    return side("_a").join(side("_b"), run).where("id_a < id_b").groupBy(run).agg(F.avg(apart).alias("diversity"))
+
+
+def baselines(pool: DataFrame) -> DataFrame:
+    """One row: ``base_diversity``, the mean Euclidean feature distance over all pairs of the pool (by blocks of matrices), and
+    ``base_spread``; what isn't positive counts as 1."""
+    positive = lambda c: F.coalesce(F.when(c > 0, c), F.lit(1.0))
+    mean = feature_pairs(pool, "row_id", ["features"]).agg(positive(F.avg("features")).alias("base_diversity"))
+    return mean.crossJoin(spread(pool).select(positive(F.col("spread_m")).alias("base_spread")))  # one row each
+
+
+def normalised_objective(scored: DataFrame, base: DataFrame, diversity: float = 0.5, spatial: float = 0.5, penalty: float = 0.1) -> DataFrame:
+    """Add ``diversity_norm``, ``spread_norm``, ``objective_raw``, ``infeasible``, ``filled`` and ``objective_score``.
+
+    ``scored`` has ``diversity`` and ``spread_m`` of each selection, how many it has (``n_selected``) and should have (``k``);
+    ``base`` is the row of :func:`baselines`. The score is the weighted sum of both over their baselines, and a tenth of the
+    filled share of it where fewer than ``k`` were selected. A missing diversity or spread counts as 0.
+    """
+    if diversity + spatial <= 0:
+        raise ValueError("the weights must have a positive sum")
+    both = scored.crossJoin(F.broadcast(base))  # one row
+    both = both.withColumn("diversity_norm", F.coalesce("diversity", F.lit(0.0)) / F.col("base_diversity")).withColumn("spread_norm", F.coalesce("spread_m", F.lit(0.0)) / F.col("base_spread"))
+    both = both.withColumn("objective_raw", (F.col("diversity_norm") * diversity + F.col("spread_norm") * spatial) / (diversity + spatial))
+    filled = F.when(F.col("k") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("n_selected") / F.when(F.col("k") > 0, F.col("k"))))).otherwise(0.0)
+    both = both.withColumn("infeasible", F.col("n_selected") < F.col("k")).withColumn("filled", filled)
+    return both.withColumn("objective_score", F.when(F.col("infeasible"), F.col("objective_raw") * F.col("filled") * penalty).otherwise(F.col("objective_raw"))).drop("base_diversity", "base_spread")
+
+
+def scored_selections(chosen: DataFrame, pool: DataFrame, targets: DataFrame, run: str = "config_id") -> DataFrame:
+    """Metrics and objective of each run of ``chosen`` (``run, row_id``); ``targets`` has the size ``k`` each should have."""
+    members = chosen.select(run, "row_id").join(pool, "row_id")
+    scored = selection_metrics(members, run).join(spread(members, run), run).join(mean_feature_distance(members, run), run, "left").join(targets.select(run, "k"), run)
+    return normalised_objective(scored, baselines(pool))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -70,10 +107,10 @@ def running_best(trials: DataFrame, group: str, order: str, value: str) -> DataF
 
 
 def first_within(trials: DataFrame, group: str, order: str, value: str, share: float = 0.99) -> DataFrame:
-    """``trials, best, reached``: the first trial at which the running best is at ``share`` of the group's best."""
-    whole = trials.groupBy(group).agg(F.max(value).alias("top"), F.count(F.lit(1)).alias("trials"))
-    curve = running_best(trials, group, order, value).join(whole, group)
-    return curve.groupBy(group).agg(F.first("trials").alias("trials"), F.max("best").alias("best"), F.min(F.when(F.col("best") >= F.col("top") * share, F.col(order))).alias("reached"))
+    """``trials, best, reached``: the first trial at which the running best is at ``share`` of the group's best, which is the
+    first trial that has as much itself; so two aggregations do, and no task holds a group."""
+    whole = trials.groupBy(group).agg(F.max(value).alias("best"), F.count(F.lit(1)).alias("trials"))
+    return trials.join(whole, group).groupBy(group).agg(F.first("trials").alias("trials"), F.first("best").alias("best"), F.min(F.when(F.col(value) >= F.col("best") * share, F.col(order))).alias("reached"))
 
 
 def plateau(trials: DataFrame, drop: float = 0.03) -> DataFrame:

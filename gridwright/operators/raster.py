@@ -13,28 +13,33 @@ from pyspark.sql import functions as F
 DARK, WHITE, BLACK = 70, 245, 10
 
 
-def patch_quality(pixels: np.ndarray, edge: int = 16) -> dict[str, float | str | bool]:
+def patch_quality(pixels: np.ndarray) -> dict[str, float | str | bool]:
     """Spread, range, white and black shares, darkness of edge and centre of a grey patch, and whether it is good.
 
-    A patch is rejected as blank if it hardly varies, as white or black if nearly all of it is, as dark_edge if its edge is
-    far darker than its centre.
+    The edge is a band of 12 per cent of the shorter side, the centre what 20 per cent leave on each side, 8 pixels at least
+    both. A patch is rejected as blank if it hardly varies, as white or black if nearly all of it is, as dark_edge if its
+    edge is dark and its centre isn't, as a legend makes it.
     """
     grey = pixels.mean(axis=2) if pixels.ndim == 3 else pixels.astype(float)
     if grey.size == 0:
         return {"std_gray": 0.0, "dynamic_range": 0.0, "white": 0.0, "black": 0.0, "edge_dark": 0.0, "center_dark": 0.0, "passed": False, "reason": "empty"}
-    band = max(1, min(edge, min(grey.shape) // 4)) if min(grey.shape) >= 4 else 1
+    side = min(grey.shape)
+    band, margin = max(8, int(side * 0.12)), max(8, int(side * 0.2))
     rim = np.ones(grey.shape, dtype=bool)
-    rim[band:-band, band:-band] = False
+    rim[band : max(band, grey.shape[0] - band), band : max(band, grey.shape[1] - band)] = False
+    centre = grey[margin : max(margin + 1, grey.shape[0] - margin), margin : max(margin + 1, grey.shape[1] - margin)]
     facts = {
         "std_gray": float(grey.std()), "dynamic_range": float(grey.max() - grey.min()), "white": float((grey >= WHITE).mean()), "black": float((grey <= BLACK).mean()),
-        "edge_dark": float((grey[rim] <= DARK).mean()), "center_dark": float((grey[~rim] <= DARK).mean()) if (~rim).any() else 0.0,
+        "edge_dark": float((grey[rim] <= DARK).mean()), "center_dark": float((centre <= DARK).mean()) if centre.size else 0.0,
     }
     reason = ""
-    if facts["std_gray"] < 5 or facts["dynamic_range"] < 20 or facts["white"] > 0.98:
+    if facts["dynamic_range"] < 6 or facts["std_gray"] < 2:
         reason = "blank"
-    elif facts["black"] > 0.6:
+    elif facts["white"] > 0.995:
+        reason = "white"
+    elif facts["black"] > 0.995:
         reason = "black"
-    elif facts["edge_dark"] > 0.5 and facts["edge_dark"] > 2 * facts["center_dark"]:
+    elif facts["edge_dark"] > 0.22 and facts["center_dark"] < 0.04:
         reason = "dark_edge"
     return {**facts, "passed": reason == "", "reason": reason}
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from itertools import combinations
 
 import numpy as np
 
@@ -90,22 +91,47 @@ def sensitivity_grid(weights: tuple[float, float, float], p: float) -> list[tupl
     return out
 
 
-def ablation_scenarios() -> dict[str, tuple[float, float, float]]:
-    """Weights with some parts switched off."""
-    third = 1 / 3
-    return {"full": (0.4, 0.3, 0.3), "equal": (third, third, third), "visual_only": (1.0, 0.0, 0.0), "spatial_only": (0.0, 1.0, 0.0), "temporal_only": (0.0, 0.0, 1.0), "no_visual": (0.0, 0.5, 0.5), "no_spatial": (0.5, 0.0, 0.5), "no_temporal": (0.5, 0.5, 0.0)}
+def fine_grid() -> list[tuple[float, float, float]]:
+    """The default weights of the fine sweep: much visual, little spatial weight, the rest temporal, if that leaves any."""
+    grid = [(a / 100, b / 100, round(1 - a / 100 - b / 100, 3)) for a in range(55, 80, 5) for b in range(5, 25, 5)]
+    return [w for w in grid if w[2] > 0.01]
 
 
-def corridor_stages(n: int, low: float = 0.04, high: float = 0.08, bounds: tuple[int, int] = (20, 60), step: int = 4, target: int | None = None) -> list[int]:
-    """Sizes of the stages: shares of n (rounded half to even), kept in bounds, in steps, the target among them."""
-    first, last = (min(max(round(n * s), bounds[0]), bounds[1]) for s in (low, high))
-    stages = set(range(first, last + 1, step)) | {last} | ({target} if target else set())
+def ablation_scenarios(weights: tuple[float, float, float] = (0.4, 0.3, 0.3)) -> dict[str, tuple[float, float, float]]:
+    """Equal weights on each non-empty set of the three parts, and the weights in use."""
+    parts, out = ("visual", "spatial", "temporal"), {}
+    for size in (1, 2, 3):
+        for used in combinations(range(3), size):
+            name = "+".join(parts[k] for k in used) if size > 1 else f"{parts[used[0]]}_only"
+            out[name] = tuple(1 / size if k in used else 0.0 for k in range(3))
+    return out | {"trial_config": weights}
+
+
+def corridor_stages(n: int, low: float = 0.04, high: float = 0.08, bounds: tuple[int, int] = (24, 96), step: int = 1, target: float | None = 0.05) -> list[int]:
+    """Sizes of the stages: from one share of n to another (rounded half to even), in steps, kept within the bounds and n.
+
+    ``target``, a share of n too, is one of the sizes, moved into the corridor. If the bounds cross, the lower gives way.
+    """
+    if n <= 0:
+        raise ValueError("n must be positive")
+    most = min(bounds[1], n)
+    first = max(1, min(most, round(n * low)))
+    last = min(most, max(first, min(most, round(n * high))))
+    first = min(max(first, min(bounds[0], most)), last)
+    stages = set(range(first, last + 1, max(1, step)))
+    if target is not None:
+        stages.add(max(first, min(last, round(n * target))))
     return sorted(stages)
 
 
 def trial_schedule(stages: int) -> list[int]:
-    """Trials of each stage: few at first, then more."""
-    return [30, 40, 60, 80][:stages] if stages <= 4 else [max(8, 320 // stages)] * stages
+    """Trials of each stage: few at first, then more; with many stages 320 in all, 8 each at least."""
+    return [30, 40, 60, 80][: max(0, stages)] if stages <= 4 else [max(8, round(320 / stages))] * stages
+
+
+def covers_all(k: int, n: int) -> bool:
+    """Whether a stage selects the whole pool: it is a diagnosis then, without a minimum distance."""
+    return k >= n
 
 
 def initial_samples(dimensions: int | None, n: int = 0) -> int:
@@ -113,10 +139,6 @@ def initial_samples(dimensions: int | None, n: int = 0) -> int:
     return max(2 * dimensions**2, 20) if dimensions else max(27, math.isqrt(n))
 
 
-def exploration_size(n: int) -> int:
-    return max(50, int(2 * math.sqrt(n)))
-
-
 def narrow(best: float, width: float = 0.2, low: float = 0.0, high: float = 1.0) -> tuple[float, float]:
     """Bounds around the best value for the next stage."""
     return max(low, best - width), min(high, best + width)
@@ -148,11 +170,3 @@ def density_ratio_search(evaluate: Callable[[list[np.ndarray]], list[float]], bo
         points += new
     best = int(np.argmax(values))
     return points[best], values[best], values
-
-
-def next_power_of_two(n: int) -> int:
-    return 1 << max(0, (n - 1).bit_length())
-
-
-def multiple_of_eight(n: int) -> int:
-    return -(-n // 8) * 8

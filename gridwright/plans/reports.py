@@ -89,12 +89,12 @@ def candidate_eligibility(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def autoscale_stages(spark: SparkSession, sf: str) -> DataFrame:
-    """Stages for the pool: sizes, trials and bounds of the first weight."""
+    """Stages for the pool: sizes, trials, bounds of the first weight, and whether the stage takes the whole pool."""
     n = table(spark, sf, "embeddings").count()
     stages = search.corridor_stages(n)
     trials = search.trial_schedule(len(stages))
     low, high = search.narrow(0.4)
-    return spark.createDataFrame([(i, k, t, low, high) for i, (k, t) in enumerate(zip(stages, trials))], "stage int, n_samples int, trials int, low double, high double")
+    return spark.createDataFrame([(i, k, t, low, high, search.covers_all(k, n)) for i, (k, t) in enumerate(zip(stages, trials))], "stage int, n_samples int, trials int, low double, high double, diagnostic_only boolean")
 
 
 def subset_manifest(spark: SparkSession, sf: str) -> DataFrame:
@@ -157,7 +157,8 @@ def oracle_sql() -> dict[str, str]:
             s AS (SELECT x, y, count(*) FILTER (WHERE g = x) AS n, count(*) FILTER (WHERE g = y) AS m, sum(r) FILTER (WHERE g = x) AS rs, sum(same * same - 1.0) AS ties, avg(value) FILTER (WHERE g = x) AS ma, avg(value) FILTER (WHERE g = y) AS mb, var_samp(value) FILTER (WHERE g = x) AS va, var_samp(value) FILTER (WHERE g = y) AS vb FROM r GROUP BY x, y)
             SELECT x AS type_a, y AS type_b, round(rs - n * (n + 1) / 2.0, 3) AS u, round((ma - mb) / sqrt(((n - 1) * va + (m - 1) * vb) / (n + m - 2)), 6) AS effect FROM s""",
         "selection_table": f"SELECT {keys.tile_key_sql('tile_shortname')} AS sheet, min(selection_rank) AS selection_rank, min({keys.clean_sql('tile_city')}) AS city, count(*) AS patches FROM selected_patches GROUP BY 1 HAVING sheet IS NOT NULL",
-        "autoscale_stages": f"""WITH n AS (SELECT count(*) AS n FROM ({pool_sql()})), b AS (SELECT CAST(least(greatest(round_even(n * 0.04, 0), 20), 60) AS INT) AS lo, CAST(least(greatest(round_even(n * 0.08, 0), 20), 60) AS INT) AS hi FROM n),
-            s AS (SELECT unnest(list_sort(list_distinct(list_append(range(lo, hi + 1, 4), hi)))) AS k FROM b), c AS (SELECT count(*) AS c FROM s)
-            SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS stage, CAST(k AS INTEGER) AS n_samples, CAST(CASE WHEN c <= 4 THEN [30, 40, 60, 80][row_number() OVER (ORDER BY k)] ELSE greatest(8, 320 // c) END AS INTEGER) AS trials, 0.2::DOUBLE AS low, 0.4::DOUBLE + 0.2::DOUBLE AS high FROM s, c""",
+        "autoscale_stages": f"""WITH n AS (SELECT count(*) AS n, least(96, count(*)) AS most FROM ({pool_sql()})), b AS (SELECT n, most, greatest(1, least(most, round_even(n * 0.04, 0))) AS lo, least(most, round_even(n * 0.08, 0)) AS hi FROM n),
+            c AS (SELECT n, CAST(least(greatest(lo, least(24, most)), greatest(lo, hi)) AS INT) AS lo, CAST(greatest(lo, hi) AS INT) AS hi FROM b),
+            s AS (SELECT DISTINCT n, unnest(list_append(range(lo, hi + 1), CAST(greatest(lo, least(hi, round_even(n * 0.05, 0))) AS BIGINT))) AS k FROM c), m AS (SELECT count(*) AS m FROM s)
+            SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS stage, CAST(k AS INTEGER) AS n_samples, CAST(CASE WHEN m <= 4 THEN [30, 40, 60, 80][row_number() OVER (ORDER BY k)] ELSE greatest(8, round_even(320 / m, 0)) END AS INTEGER) AS trials, 0.2::DOUBLE AS low, 0.4::DOUBLE + 0.2::DOUBLE AS high, k >= n AS diagnostic_only FROM s, m""",
     }

@@ -93,10 +93,31 @@ def weight_sweep(spark: SparkSession, sf: str) -> DataFrame:
     base = candidate_pool(spark, sf)
     settings = spark.createDataFrame(SWEEP, selection.SETTINGS)
     chosen = selection.select(base, settings)
-    metrics = objective.selection_metrics(chosen.join(base, "row_id"), "config_id")
-    scored = objective.normalised_objective(metrics.join(F.broadcast(settings.select("config_id", "k")), "config_id"), base)
-    return scored.select("config_id", "n_selected", F.round("temporal_std", 6).alias("temporal_std"), "temporal_range", F.round("wwi_percent", 6).alias("wwi_percent"), F.round("spatial_mean_km", 6).alias("spatial_mean_km"),
-                         F.round("spatial_min_km", 6).alias("spatial_min_km"), "clusters_covered", F.round("objective_score", 6).alias("objective_score"))
+    scored = objective.scored_selections(chosen, base, settings)
+    return rounded_scores(scored)
+
+
+#: What is shown of a scored selection, and the figures among it that are rounded.
+SCORES = ("n_selected", "temporal_std", "temporal_range", "wwi_percent", "spatial_mean_km", "spatial_min_km", "clusters_covered", "diversity_norm", "spread_norm", "infeasible", "filled", "objective_score")
+_ROUNDED = {"temporal_std", "wwi_percent", "spatial_mean_km", "spatial_min_km", "diversity_norm", "spread_norm", "filled", "objective_score"}
+
+
+def rounded_scores(scored: DataFrame, run: str = "config_id") -> DataFrame:
+    return scored.select(run, *[F.round(c, 6).alias(c) if c in _ROUNDED else F.col(c) for c in SCORES])
+
+
+def scores_sql(chosen: str, run: str = "config_id") -> str:
+    """The scores of selections in ``chosen`` (``run, row_id, k``), from the formula, for DuckDB; ``pool`` must be known."""
+    shown = ", ".join(f"round({c}, 6) AS {c}" if c in _ROUNDED else c for c in SCORES)
+    return f"""sel AS ({chosen}), mem AS (SELECT sel.{run}, sel.k, pool.* FROM sel JOIN pool USING (row_id)),
+      one AS (SELECT {run}, any_value(k) AS k, count(*) AS n_selected, coalesce(stddev_samp(year), 0) AS temporal_std, coalesce(max(year) - min(year), 0) AS temporal_range,
+        coalesce(100.0 * count(*) FILTER (WHERE year BETWEEN 1914 AND 1918) / nullif(count(year), 0), 0) AS wwi_percent, count(DISTINCT label) AS clusters_covered, coalesce((stddev_samp(center_x) + stddev_samp(center_y)) / 2, 0) AS spread FROM mem GROUP BY 1),
+      two AS (SELECT a.{run}, avg(sqrt(pow(a.center_x - b.center_x, 2) + pow(a.center_y - b.center_y, 2))) / 1000 AS sm, min(sqrt(pow(a.center_x - b.center_x, 2) + pow(a.center_y - b.center_y, 2))) / 1000 AS sn,
+        avg(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS diversity FROM mem a JOIN mem b ON a.{run} = b.{run} AND a.row_id < b.row_id GROUP BY 1),
+      base AS (SELECT (SELECT avg(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) FROM pool a JOIN pool b ON a.row_id < b.row_id) AS bd, (SELECT (stddev_samp(center_x) + stddev_samp(center_y)) / 2 FROM pool) AS bs),
+      raw_scores AS (SELECT one.*, coalesce(sm, 0) AS spatial_mean_km, coalesce(sn, 0) AS spatial_min_km, coalesce(diversity, 0) / bd AS diversity_norm, spread / bs AS spread_norm, n_selected < k AS infeasible, least(1.0, n_selected / k) AS filled FROM one LEFT JOIN two USING ({run}), base),
+      scores AS (SELECT *, (diversity_norm + spread_norm) / 2 * CASE WHEN infeasible THEN filled * 0.1 ELSE 1 END AS objective_score FROM raw_scores)
+      SELECT {run}, {shown} FROM scores"""
 
 
 def seed_stability(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,6 +176,16 @@ def _greedy_sql(similarity: str, apart: str, least: float, k: int, seeds: tuple[
     return f"WITH {', '.join(parts)} {rows}"
 
 
+def _sweep_sql() -> str:
+    """The greedy chains of the sweep's settings, one behind the other, and their scores."""
+    told = f"{ALPHA} * visual / v + {BETA} * spatial_km / s + {GAMMA} * years / y"
+    chains = []
+    for config, a, b, g, k, least in SWEEP:
+        chain = _greedy_sql("most_d - distance", "edge_km", least, k).replace(told, f"{a} * visual / v + {b} * spatial_km / s + {g} * years / y")
+        chains.append(f"SELECT {config} AS config_id, row_id, {k} AS k FROM ({chain})")
+    return f"WITH pool AS MATERIALIZED ({pool_sql()}), {scores_sql(' UNION ALL '.join(chains))}"
+
+
 _NEAREST = f"""SELECT a.row_id, round(min(sqrt((a.center_x - b.center_x) * (a.center_x - b.center_x) + (a.center_y - b.center_y) * (a.center_y - b.center_y)) / 1000), 6) AS nearest_km
 FROM {_POOL} a JOIN {_POOL} b ON a.row_id <> b.row_id GROUP BY a.row_id"""
 
@@ -193,6 +224,7 @@ def oracle_sql() -> dict[str, str]:
                WHERE sqrt((p.x - f.x) * (p.x - f.x) + (p.y - f.y) * (p.y - f.y)) >= 150.0)
             FROM steps s WHERE len(s.left_ids) > 0)
           SELECT selection_rank, row_id FROM steps""",
+        "weight_sweep": _sweep_sql(),
         "pareto_front": "SELECT p_partkey, p_size, p_retailprice FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_size >= a.p_size AND b.p_retailprice <= a.p_retailprice AND (b.p_size > a.p_size OR b.p_retailprice < a.p_retailprice))",
         "core_case": f"""WITH p AS (SELECT {keys.tile_key_sql('tile_shortname')} AS sheet, selection_group, min(selection_rank) AS r FROM selected_patches WHERE selection_group IN ('core', 'case') GROUP BY 1, 2 HAVING sheet IS NOT NULL),
           u AS (SELECT sheet, 'core' AS selection_group, 0 AS g, r FROM p WHERE selection_group = 'core' AND sheet NOT IN (SELECT sheet FROM p WHERE selection_group = 'case') UNION ALL SELECT sheet, 'case', 1, r FROM p WHERE selection_group = 'case')

@@ -111,7 +111,7 @@ def selection_metrics(spark: SparkSession, sf: str) -> DataFrame:
     chosen = _runs(spark, sf).select("run_key", F.explode(F.array_distinct("selected_tile_ids")).alias("tile_id"))
     tiles = table(spark, sf, "new_all_tiles").select("tile_id", "year", F.when(is_position(F.col("lon"), F.col("lat")), F.col("lon")).alias("lon"), F.when(is_position(F.col("lon"), F.col("lat")), F.col("lat")).alias("lat"))
     rows = chosen.join(tiles, "tile_id")
-    one = rows.groupBy("run_key").agg(F.count(F.lit(1)).alias("n_selected"), F.round(F.coalesce(F.stddev_samp("year"), F.lit(0.0)), 6).alias("temporal_std"), (F.max("year") - F.min("year")).alias("temporal_range"), F.round(F.count_if(F.col("year").between(1914, 1918)) * 100.0 / F.count(F.lit(1)), 6).alias("wwi_percent"))
+    one = rows.groupBy("run_key").agg(F.count(F.lit(1)).alias("n_selected"), F.round(F.coalesce(F.stddev_samp("year"), F.lit(0.0)), 6).alias("temporal_std"), F.coalesce(F.max("year") - F.min("year"), F.lit(0)).alias("temporal_range"), F.round(objective.war_share(F.col("year")), 6).alias("wwi_percent"))
     a, b = rows.alias("a"), rows.alias("b")
     met = a.join(b, (F.col("a.run_key") == F.col("b.run_key")) & (F.col("a.tile_id") < F.col("b.tile_id")))
     km = haversine_km(F.col("a.lon"), F.col("a.lat"), F.col("b.lon"), F.col("b.lat"))
@@ -193,7 +193,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT distance, n_requested, count(*) AS pairs, round(avg(j), 6) AS jaccard_mean, round(min(j), 6) AS jaccard_min FROM p GROUP BY ALL""",
         "signatures": f"SELECT distance, n_requested, count(*) AS runs, count(DISTINCT array_to_string({ids}, '|')) AS different, CASE WHEN count(DISTINCT array_to_string({ids}, '|')) = 1 THEN 'replay' ELSE 'independent' END AS status FROM {_RUNS} GROUP BY distance, n_requested",
         "selection_metrics": f"""WITH c AS (SELECT DISTINCT run_key, unnest(selected_tile_ids) AS tile_id FROM {_RUNS}), t AS (SELECT run_key, tile_id, year, CASE WHEN {placed} THEN lon END AS lon, CASE WHEN {placed} THEN lat END AS lat FROM c JOIN new_all_tiles USING (tile_id)),
-            o AS (SELECT run_key, count(*) AS n_selected, round(coalesce(stddev_samp(year), 0), 6) AS temporal_std, max(year) - min(year) AS temporal_range, round(count(*) FILTER (WHERE year BETWEEN 1914 AND 1918) * 100.0 / count(*), 6) AS wwi_percent FROM t GROUP BY 1),
+            o AS (SELECT run_key, count(*) AS n_selected, round(coalesce(stddev_samp(year), 0), 6) AS temporal_std, coalesce(max(year) - min(year), 0) AS temporal_range, round(coalesce(count(*) FILTER (WHERE year BETWEEN 1914 AND 1918) * 100.0 / nullif(count(year), 0), 0), 6) AS wwi_percent FROM t GROUP BY 1),
             m AS (SELECT a.run_key, round(avg({km}), 6) AS spatial_mean_km, round(min({km}), 6) AS spatial_min_km FROM t a JOIN t b ON a.run_key = b.run_key AND a.tile_id < b.tile_id GROUP BY 1) SELECT * FROM o LEFT JOIN m USING (run_key)""",
         "pivot_paired": f"SELECT user_id, round(avg(value) FILTER (WHERE event_type = 'click'), 6) AS click, round(avg(value) FILTER (WHERE event_type = 'purchase'), 6) AS purchase FROM {_EV} GROUP BY user_id",
         "distance_bounds": f"SELECT greatest(10.0, m - 10) AS low, least(100.0, m + 10) AS high, [t - 5, t, t + 5] AS grid FROM (SELECT quantile_cont(distance, 0.5) AS m, first(distance ORDER BY temporal_std DESC NULLS LAST, run_key DESC) AS t FROM {_RUNS} WHERE hardcut_target_met)",

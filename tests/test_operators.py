@@ -223,6 +223,9 @@ def test_searches():
     assert search.centred_discrepancy(search.sobol(64, 2)) < search.centred_discrepancy(np.random.default_rng(0).random((64, 2)))
     assert np.allclose(search.simplex(np.array([[1, 1, 2], [0, 0, 0.0]])).sum(1), 1)
     assert (search.initial_samples(3), search.initial_samples(5), search.initial_samples(None)) == (20, 50, 27)
+    assert search.trial_schedule(9) == [36] * 9 and search.trial_schedule(3) == [30, 40, 60] and search.trial_schedule(0) == []
+    assert search.corridor_stages(10) == [1] and search.corridor_stages(300) == [24] and search.corridor_stages(5000, step=20) == [96]
+    assert len(search.fine_grid()) == 20 and search.fine_grid()[0] == (0.55, 0.05, 0.4) and search.covers_all(5, 5)
     stages = search.corridor_stages(676)
     assert (stages[0], stages[-1]) == (27, 54)
     best, value, values = search.density_ratio_search(lambda ps: [-float(((p - 0.3) ** 2).sum()) for p in ps], [(0, 1), (0, 1)], 6, 16, seed=2)
@@ -233,9 +236,15 @@ def test_searches():
 def test_rasters(spark):
     noise = np.random.default_rng(0).integers(0, 255, (64, 64))
     assert raster.patch_quality(noise)["passed"] and raster.patch_quality(np.full((64, 64), 255))["reason"] == "blank"
-    rim = np.full((64, 64), 200)
-    rim[:16], rim[-16:], rim[:, :16], rim[:, -16:] = 0, 0, 0, 0
-    assert raster.patch_quality(rim)["reason"] in ("dark_edge", "black")
+    # a dark rim counts if it leaves the centre free, a fifth of the side on each side
+    for wide, reason in ((10, "dark_edge"), (16, "")):
+        rim = np.full((64, 64), 200)
+        rim[:wide], rim[-wide:], rim[:, :wide], rim[:, -wide:] = 0, 0, 0, 0
+        assert raster.patch_quality(rim)["reason"] == reason
+    sparse = np.full((100, 100), 250)
+    sparse[0, :40] = 100
+    assert [raster.patch_quality(p)["reason"] for p in (sparse, 255 - sparse)] == ["white", "black"]
+    assert raster.patch_quality(np.full((64, 64), 100) + np.arange(64) % 5)["reason"] == "blank"
     df = spark.createDataFrame([(1, noise.tolist()), (2, None)], "k int, p array<array<int>>")
     assert {r.k: r.passed for r in raster.check_patches(df, "k", "p").collect()} == {1: True, 2: False}
     mask = np.zeros((5, 5), bool)
