@@ -279,6 +279,20 @@ def greedy_in_two_rounds(pool: DataFrame, k: int, parts: int, least_km: float =
     return select(finalists, settings).drop("config_id")
 
 
+def with_years(pool: DataFrame, features: str, year: str, weight: float, ratio: float = 0.025) -> DataFrame:
+    """``pool`` with the year, from 0 to 1 over the pool, added to the features as often as ``ratio`` of their number says (once
+    at least), scaled by ``weight`` and the deviation of all feature values. A null year is the median one; if all years are
+    equal the added values are 0."""
+    flat = pool.select(F.explode(features).alias("v")).agg(F.stddev_pop("v").alias("_sd"))
+    middle = pool.agg(F.expr(f"percentile({year}, 0.5)").alias("_median"))
+    known = pool.crossJoin(F.broadcast(middle)).withColumn("_year", F.coalesce(F.col(year).cast("double"), "_median"))  # one row
+    ends = known.agg(F.min("_year").alias("_low"), F.max("_year").alias("_high")).crossJoin(flat)
+    share = F.coalesce((F.col("_year") - F.col("_low")) / F.when(F.col("_high") > F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0))
+    times = F.greatest(F.lit(1), F.bround(F.size(features) * ratio).cast("int"))
+    both = known.crossJoin(F.broadcast(ends))  # one row
+    return both.withColumn(features, F.concat(features, F.array_repeat(share * weight * F.col("_sd"), times))).select(*pool.columns)
+
+
 def core_and_cases(core: DataFrame, cases: DataFrame, key: str, rank: str, unseen_only: bool = False) -> DataFrame:
     """``key, selection_group, selection_rank``: the core without the cases, the cases behind it, ranked anew from 0.
 
