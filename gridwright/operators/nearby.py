@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwright.functions.geo import EARTH_KM, haversine_km, is_position
+from gridwright.operators.skew import join_hot
 
 #: Points that one task of the join holds of one cell before the cell is split.
 CELL_ROWS = 2000
@@ -108,7 +109,8 @@ def points_in_regions(points: DataFrame, id_col: str, x: str, y: str, regions: D
     Regions are written to all grid cells of side ``cell`` that their bounding box touches, points to one, and what meets is
     checked by counting crossings of a ray. Points on a lower or left edge are inside, on an upper or right one outside, so
     regions that tile the plane hold each point once. Choose ``cell`` near the size of a region: then a region has a few
-    cells and a cell a few regions. Rings of fewer than three corners or with null corners, and points without finite
+    cells and a cell a few regions. The points of a crowded cell are dealt out and its few regions copied to each part. A point
+    given twice comes out twice; a region given in two rows too. Rings of fewer than three corners or with null corners, and points without finite
     coordinates, match nothing.
     """
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e300)
@@ -120,7 +122,7 @@ def points_in_regions(points: DataFrame, id_col: str, x: str, y: str, regions: D
     side = lambda axis, pick: F.floor(pick(F.transform("ring", lambda p: p[axis])) / cell)
     reg = reg.withColumn("cx", F.explode(F.sequence(side("x", F.array_min), side("x", F.array_max))))
     reg = reg.withColumn("cy", F.explode(F.sequence(side("y", F.array_min), side("y", F.array_max))))
-    met = pts.join(reg, ["cx", "cy"])
+    met = join_hot(pts, reg, ["cx", "cy"], "id")
 
     def crossing(k: Column) -> Column:
         p, q = F.element_at("ring", k), F.element_at("ring", F.when(k == F.size("ring"), 1).otherwise(k + 1))
@@ -129,4 +131,5 @@ def points_in_regions(points: DataFrame, id_col: str, x: str, y: str, regions: D
         return F.when(spans & (F.col("px") < at), 1).otherwise(0)
 
     crossings = F.aggregate(F.transform(F.sequence(F.lit(1), F.size("ring")), crossing), F.lit(0), lambda s, c: s + c)
-    return met.where(crossings % 2 == 1).select("id", "region").distinct()
+    # a point is in one cell and a region once in each, so no two rows are the same
+    return met.where(crossings % 2 == 1).select("id", "region")

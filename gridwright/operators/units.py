@@ -51,6 +51,16 @@ def factors_of(unit_factors: DataFrame) -> dict[str, tuple[str, float]]:
     return {r[0]: (r[1], float(r[2])) for r in rows if r[0] and r[1] and r[2] and r[2] > 0}
 
 
+#: Codes in the order that decides between units that fit equally well; others of the table come behind, by name.
+TILE_CODES, WIDTH_CODES, PIXEL_CODES = ("m", "km", "ft", "cm", "ruthe", "deg"), ("m", "ft", "cm", "km", "ruthe"), ("px", "screen_px")
+
+
+def codes_of(factors: dict[str, tuple[str, float]], base: str, order: tuple[str, ...], without: tuple[str, ...] = ()) -> list[str]:
+    """All unit codes of the table with that base unit but those left out, the known ones in their order first."""
+    place = {c: k for k, c in enumerate(order)}
+    return sorted((c for c, (b, _) in factors.items() if b == base and c not in without), key=lambda c: (place.get(c, len(place)), c))
+
+
 def best_combination(combos: list[tuple[tuple[str, ...], list[Column]]], out: str = "best") -> tuple[Column, Column]:
     """The costs of the combinations ``(units, penalties)`` as an array, and the choice made from it.
 
@@ -98,7 +108,7 @@ def tile_units(tiles: DataFrame, factors: dict[str, tuple[str, float]], id_col:
     negative pixel width is judged by its size; a value about which nothing is known counts as base units, not unique.
     Repeated ids are judged row by row and come out once each distinct result. An empty table gives an empty one.
     """
-    codes = [c for c in ("m", "km", "ft", "cm", "ruthe", "deg") if c in factors]
+    codes = codes_of(factors, "m", TILE_CODES)
     n = {c: number(F.col(c)) for c in ("ul_x", "ul_y", "lr_x", "lr_y", "pixel_width", "width_px")}
     df = tiles.select(F.col(id_col).alias("record_id"), *[v.alias(k) for k, v in n.items()], F.col("crs_provenance").alias("said"), F.col("source_crs").alias("crs"))
     df = df.withColumn("extent", F.abs(F.col("lr_x") - F.col("ul_x"))).withColumn("px", F.abs("pixel_width"))
@@ -153,8 +163,7 @@ def measurement_units(rows: DataFrame, factors: dict[str, tuple[str, float]], id
     column and the note, which may mislead and only decide ties. Numbers may have a decimal comma. Text without a number,
     null, blank and NaN are not present. Rows delivered twice count once. An empty table gives an empty one.
     """
-    lengths = [c for c in ("m", "ft", "cm", "km", "ruthe") if c in factors]
-    pixels = [c for c in ("px", "screen_px") if c in factors]
+    lengths, pixels = codes_of(factors, "m", WIDTH_CODES, ("deg",)), codes_of(factors, "px", PIXEL_CODES)
     typed = F.regexp_extract("width_m", r"^\s*([+-]?[0-9]+(?:[.,][0-9]+)?|[+-]?[.,][0-9]+)\s*(.*)$", 1)
     behind = F.regexp_extract("width_m", r"^\s*([+-]?[0-9]+(?:[.,][0-9]+)?|[+-]?[.,][0-9]+)\s*(.*)$", 2)
     wanted = ("click1_x_px", "click1_y_px", "click2_x_px", "click2_y_px", "width_px", "pixel_size_x_m", "pixel_size_y_m")

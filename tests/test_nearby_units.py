@@ -117,6 +117,14 @@ def test_measurement_units_by_clicks_not_words(spark):
     assert {(r.record_id, r.field_name) for r in got if not r.unique} >= {(7, "width_m")}
 
 
+def test_a_unit_added_to_the_table_counts(spark):
+    more = factors_of(spark.createDataFrame([("m", "m", 1.0), ("mile", "m", 1609.344), ("px", "px", 1.0)], "unit_code string, base_unit string, factor double"))
+    row = (1, 0.0, 0.0, 3.0, 4.0, 5.0, "0.0077671", 2.5, 2.5, None, None)
+    df = spark.createDataFrame([row], "measure_id long, click1_x_px double, click1_y_px double, click2_x_px double, click2_y_px double, width_px double, width_m string, pixel_size_x_m double, pixel_size_y_m double, crs_linear_unit string, note string")
+    got = {r.field_name: r for r in measurement_units(df, more).collect()}
+    assert got["width_m"].unit_code == "mile" and got["width_m"].base_value == pytest.approx(12.5, rel=1e-3)
+
+
 def test_units_of_nothing(spark):
     tiles = spark.createDataFrame([], "record_id long, ul_x double, ul_y double, lr_x double, lr_y double, width_px int, pixel_width double, crs_provenance string, source_crs string")
     assert tile_units(tiles, factors(spark)).count() == 0
