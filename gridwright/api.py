@@ -6,10 +6,11 @@ from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from gridwright.functions.geo import EARTH_KM
-from gridwright.operators import inference, objective, policy, selection, splits
+from gridwright.operators import inference, objective, pairs, policy, selection, splits
 
 
 def select_diverse(pool: DataFrame, k: int, least_km: float = 0.0, weights: tuple[float, float, float] = (0.4, 0.3, 0.3), mode: str = "unified", seeds: Sequence[int] = (), metric: str = "edge") -> DataFrame:
@@ -48,14 +49,22 @@ def spatial_splits(pool: DataFrame, least_km: float, edges: list[int], shares: t
     return found.join(parts.select("component", "split"), "component")
 
 
-def leakage_safe_splits(pool: DataFrame, least_km: float, edges: list[int]) -> DataFrame:
-    """:func:`spatial_splits`, audited: an error if any two parts are nearer than the distance."""
+def leakage_safe_splits(pool: DataFrame, least_km: float | None, edges: list[int]) -> DataFrame:
+    """:func:`spatial_splits`, audited: an error if any two parts are nearer than the distance. Without a distance it is the
+    one from which on candidates are no more alike than far ones, from all pairs of the pool."""
+    if least_km is None:
+        raw = pairs.pool_pairs(pool).select(F.col("edge_km").alias("km"), (1 - F.col("cosine")).alias("similarity"))
+        least_km = calibrate_leakage(raw, "km", "similarity", CALIBRATION_KM).first()["d_leak_km"]
     out = spatial_splits(pool, least_km, edges)
     if not splits.leakage_audit(pool.join(out, "row_id"), "row_id", "split", least_km).isEmpty():
         raise RuntimeError("the parts are nearer to each other than the distance")
     return out
 
 
+#: Width of the bins of distance in which similarities are averaged.
+CALIBRATION_KM = 5.0
+
+
 def calibrate_leakage(pairs: DataFrame, km: str, similarity: str, width_km: float) -> DataFrame:
     return splits.calibrate(splits.binned_similarity(pairs, km, similarity, width_km), pairs, km, similarity)
 
