@@ -9,15 +9,20 @@ are estimated in turn until the accuracies stand still. The state is a number fo
 from __future__ import annotations
 
 import math
+import uuid
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from itertools import combinations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwright.functions.keys import clean, fold, number, tile_key
 from gridwright.operators.skew import join_hot
-from gridwright.operators.units import factors_of, tile_units
-from gridwright.session import cut_lineage
+from gridwright.operators.units import factors_of, tile_metres
+from gridwright.session import cut_lineage, shared_folder
 
 #: Assumptions of the model: false values a field can have, share of values a copier copies, chance that two sources depend,
 #: accuracy to begin with, and the bounds it is kept in.
@@ -27,6 +32,8 @@ ROUNDS, SETTLED = 6, 0.005
 #: Rows of the driver's state: one a source, one for each two sources that are ever wrong together. More are an error; 2,000
 #: sources fit whatever they share.
 MOST_PAIRS = 2_000_000
+#: Accuracy by source, dependence by pair.
+State = tuple[dict[str, float], dict[tuple[str, str], float]]
 FUSED = ("city", "year", "filename", "ul_x", "pixel_width", "source_crs")
 
 
@@ -66,57 +73,112 @@ def vote_confidence(sources: tuple[str, ...], accuracy: dict[str, float], depend
     return total
 
 
-def believed_values(votes: DataFrame, sizes: DataFrame, accuracy: dict[str, float], dependence: dict[tuple[str, str], float]) -> DataFrame:
-    """``votes`` (``tile, field, value, sources``, ...) with ``belief``, the posterior probability of each value.
+def vote_weights(accuracy: dict[str, float], dependence: dict[tuple[str, str], float]) -> Callable[[Iterable[str]], float]:
+    """The weight of a value by its sources."""
+    known: dict[tuple[str, ...], float] = {}  # the sets of sources are few
 
-    ``sizes`` has the number of different values, ``_rows``, of each tile and field.
-    """
+    def weight(sources: Iterable[str]) -> float:
+        key = tuple(sources)
+        if key not in known:
+            known[key] = math.exp(min(300.0, vote_confidence(key, accuracy, dependence)))
+        return known[key]
+
+    return weight
+
+
+def weighted(votes: DataFrame, accuracy: dict[str, float], dependence: dict[tuple[str, str], float]) -> DataFrame:
+    """``votes`` with the ``weight`` of each value."""
 
     @F.pandas_udf("double")
     def weight(sources: pd.Series) -> pd.Series:
-        known: dict[tuple[str, ...], float] = {}  # the sets of sources are few
-        out = []
-        for x in map(tuple, sources):
-            if x not in known:
-                known[x] = math.exp(min(300.0, vote_confidence(x, accuracy, dependence)))
-            out.append(known[x])
-        return pd.Series(out, dtype="float64")
-
-    scored = votes.withColumn("weight", weight("sources"))
-    sums = scored.groupBy("tile", "field").agg(F.sum("weight").alias("all_weight"), F.count(F.lit(1)).alias("_n"))
-    totals = sums.select("tile", "field", (F.col("all_weight") + F.greatest(F.lit(FALSE_VALUES + 1) - F.col("_n"), F.lit(0))).alias("all_weight"))
-    met = join_hot(scored, totals, ["tile", "field"], "value", sizes=sizes)
+        return pd.Series(list(map(vote_weights(accuracy, dependence), sources)), dtype="float64")
+
+    return votes.withColumn("weight", weight("sources"))
+
+
+def _all_weight() -> Column:
+    """The weights of a field's values, said or not, summed."""
+    return F.sum("weight") + F.greatest(F.lit(FALSE_VALUES + 1) - F.count(F.lit(1)), F.lit(0))
+
+
+def believed_values(votes: DataFrame, accuracy: dict[str, float], dependence: dict[tuple[str, str], float]) -> DataFrame:
+    """``votes`` (``tile, field, value, sources``, ...) with ``belief``, the posterior probability of each value."""
+    scored = weighted(votes, accuracy, dependence)
+    totals = scored.groupBy("tile", "field").agg(_all_weight().alias("all_weight"))
+    met = join_hot(scored, totals, ["tile", "field"], "value")
     return met.withColumn("belief", F.col("weight") / F.col("all_weight")).drop("weight", "all_weight")
 
 
-def estimated(believed: DataFrame) -> tuple[dict[str, float], dict[tuple[str, str], float]]:
-    """Accuracy by source and dependence by pair, from the beliefs.
+def chosen_values(votes: DataFrame, accuracy: dict[str, float], dependence: dict[tuple[str, str], float]) -> DataFrame:
+    """``tile, field, shown, belief`` of the value of maximum posterior probability, then of the best trusted one, for each
+    field. The order by belief is that by weight, so one aggregation does."""
+    best = F.struct("weight", (-F.col("rank")).alias("r"), "value")
+    return weighted(votes, accuracy, dependence).groupBy("tile", "field").agg(F.max_by("shown", best).alias("shown"), (F.max("weight") / _all_weight()).alias("belief"))
+
+
+def shapes_of(votes: DataFrame) -> DataFrame:
+    """``shape, fields``: the sets of sources of a field's values, with the values of each set, and how many fields have them.
+
+    Beliefs follow from the shape alone, so accuracies and dependence are estimated over shapes, which are few, not over votes.
+    """
+    sets = votes.groupBy("tile", "field", "sources").agg(F.count(F.lit(1)).alias("n"))
+    shapes = sets.groupBy("tile", "field").agg(F.array_sort(F.collect_list(F.struct("sources", "n"))).alias("shape"))
+    return shapes.groupBy("shape").agg(F.count(F.lit(1)).alias("fields"))
+
+
+def estimated(shapes: DataFrame, accuracy: dict[str, float], dependence: dict[tuple[str, str], float]) -> tuple[dict[str, float], dict[tuple[str, str], float]]:
+    """Accuracy by source and dependence by pair, from the beliefs that the given ones lead to.
 
-    All is first summed by set of sources, with map-side partial sums, and only the sets are taken apart; what comes to the
-    driver is a row for each source and for each two sources that are ever wrong together.
+    What comes to the driver is a row for each source and for each two sources that are ever wrong together.
     """
-    by_set = believed.groupBy("sources").agg(F.sum("belief").alias("belief"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("belief") < 0.5).alias("wrong"))
-    wrong = believed.where("belief < 0.5").groupBy("tile", "field").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("sources"))
-    wrong = wrong.groupBy("sources").agg(F.count(F.lit(1)).alias("both"))
-    both = by_set.select("sources", "belief", "n", "wrong", F.lit(0).cast("long").alias("both")).union(wrong.select("sources", F.lit(0.0), F.lit(0).cast("long"), F.lit(0).cast("long"), "both"))
-    two = both.select("*", F.explode("sources").alias("s")).select("*", F.explode("sources").alias("t")).where("s <= t")
-    figures = two.groupBy("s", "t").agg(*[F.sum(c).alias(c) for c in ("belief", "n", "wrong", "both")])
+
+    def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = vote_weights(accuracy, dependence)
+        sums: dict[tuple[str, str], list] = defaultdict(lambda: [0.0, 0, 0, 0])  # belief, values, both say a false one, both are wrong
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            sets = [(x["sources"], x["n"], weight(x["sources"])) for x in row["shape"]]
+            whole = sum(n * w for _, n, w in sets) + max(0, FALSE_VALUES + 1 - sum(n for _, n, _ in sets))
+            in_error: set[str] = set()
+            for sources, n, w in sets:
+                for s in sources:
+                    sums[s, s][0] += w / whole * n * row["fields"]
+                    sums[s, s][1] += n * row["fields"]
+                if w / whole < 0.5:
+                    in_error.update(sources)
+                    for pair in combinations(sources, 2):
+                        sums[pair][2] += n * row["fields"]
+            for pair in combinations(sorted(in_error), 2):
+                sums[pair][3] += row["fields"]
+        rows = [(*pair, *x) for pair, x in sums.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["s", "t", "belief", "n", "wrong", "both"])
+
+    summed = shapes.mapInArrow(figures, "s string, t string, belief double, n long, wrong long, both long").groupBy("s", "t").agg(*[F.sum(c).alias(c) for c in ("belief", "n", "wrong", "both")])
     apart = F.greatest(F.lit(0), F.col("both") - F.col("wrong"))
-    rows = figures.select("s", "t", "belief", "n", "both", copying(F.col("wrong"), apart).alias("p")).where("s = t or both > 0").limit(MOST_PAIRS + 1).collect()
+    rows = summed.select("s", "t", "belief", "n", "both", copying(F.col("wrong"), apart).alias("p")).where("s = t or both > 0").limit(MOST_PAIRS + 1).collect()
     if len(rows) > MOST_PAIRS:
         raise ValueError(f"more than {MOST_PAIRS} pairs of sources")
-    accuracy = {r["s"]: min(MOST_ACCURACY, max(LEAST_ACCURACY, r["belief"] / r["n"])) for r in rows if r["s"] == r["t"] and r["n"]}
-    return accuracy, {(r["s"], r["t"]): r["p"] for r in rows if r["s"] != r["t"]}
+    found = {r["s"]: min(MOST_ACCURACY, max(LEAST_ACCURACY, r["belief"] / r["n"])) for r in rows if r["s"] == r["t"] and r["n"]}
+    return found, {(r["s"], r["t"]): r["p"] for r in rows if r["s"] != r["t"]}
 
 
-def keyed_records(records: DataFrame, source_trust: DataFrame) -> DataFrame:
-    """``record_id, tile, source, rank, recorded_at, present`` and the six fields, null where they have no value."""
+def keyed_records(records: DataFrame, source_trust: DataFrame, unit_factors: DataFrame | None = None) -> DataFrame:
+    """``record_id, tile, source, rank, recorded_at, present`` and the six fields, null where they have no value.
+
+    With ``unit_factors`` also ``ul_x_m, pixel_width_m``, the lengths in metres, told by physical identities.
+    """
     trust = source_trust.where("source is not null").groupBy("source").agg(F.min("trust_rank").cast("long").alias("_rank"))
+    records = records.where(F.col("record_id").isNotNull())
+    sizes = records.groupBy("source").agg(F.count(F.lit(1)).alias("_rows"))
+    metres: tuple[str, ...] = ()
+    if unit_factors is not None:
+        metres = ("ul_x_m", "pixel_width_m")
+        records = tile_metres(records, factors_of(unit_factors), ("shortname", "longname", "filename", "image_path", "city", "year", "source_crs", "source", "recorded_at"))
     values = {"city": present(F.col("city")), "year": present(F.col("year"), True), "filename": present(F.col("filename")), "ul_x": _missing_number(F.col("ul_x")),
               "pixel_width": _missing_number(F.col("pixel_width")), "source_crs": present(F.col("source_crs"))}
-    rows = records.where(F.col("record_id").isNotNull()).select("record_id", record_group(records).alias("tile"), "recorded_at", "source", *[v.alias(k) for k, v in values.items()]).where("tile is not null")
+    rows = records.select("record_id", record_group(records).alias("tile"), "recorded_at", "source", *metres, *[v.alias(k) for k, v in values.items()]).where("tile is not null")
     # a source may have a third of the rows; a hot one's row of trust is copied
-    rows = join_hot(rows, trust, ["source"], "record_id", "left").withColumn("rank", F.coalesce("_rank", F.lit(2**31 - 1))).drop("_rank")
+    rows = join_hot(rows, trust, ["source"], "record_id", "left", sizes).withColumn("rank", F.coalesce("_rank", F.lit(2**31 - 1))).drop("_rank")
     return rows.withColumn("present", sum((F.col(c).isNotNull().cast("int") for c in FUSED), F.lit(0)))
 
 
@@ -134,9 +196,8 @@ def _best(rows: DataFrame) -> DataFrame:
     return rows.groupBy("tile").agg(F.min("record_id").alias("group_id"), F.max_by("record_id", order).alias("best_id"), F.count_distinct("record_id").alias("records"))
 
 
-def claims_of(rows: DataFrame, metres: DataFrame) -> DataFrame:
+def claims_of(rows: DataFrame) -> DataFrame:
     """``tile, record_id, recorded_at, source, rank, field, value, shown``: what each record says, in a form to compare."""
-    rows = rows.join(metres, "record_id", "left")
     forms = {
         "city": (fold(F.col("city")), F.col("city")),
         "year": (F.col("year").try_cast("double").cast("int").cast("string"), F.col("year").try_cast("double").cast("int").cast("string")),
@@ -149,20 +210,35 @@ def claims_of(rows: DataFrame, metres: DataFrame) -> DataFrame:
     return rows.select("tile", "record_id", "recorded_at", F.coalesce("source", F.lit("")).alias("source"), "rank", claim.alias("c")).select("tile", "record_id", "recorded_at", "source", "rank", "c.*").where("value is not null and value <> ''")
 
 
-def fuse(claims: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, dict[str, float], dict[tuple[str, str], float]]:
-    """``(votes with belief, accuracy by source, dependence by pair)`` from ``claims``; see :func:`claims_of`."""
+def votes_of(claims: DataFrame) -> DataFrame:
+    """``tile, field, value, sources, rank, shown``: each value of a field once, from ``claims``; see :func:`claims_of`.
+
+    They are written to the shared folder and read again, as a table: that is smaller than a checkpoint, and made once.
+    """
     # of the records that show a value, the best trusted one's spelling
     shown = F.max_by("shown", F.struct((-F.col("rank")).alias("r"), "recorded_at", (-F.col("record_id")).alias("i")))
     votes = claims.groupBy("tile", "field", "value").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.min("rank").alias("rank"), shown.alias("shown"))
-    votes = cut_lineage(votes)
-    sizes = votes.groupBy("tile", "field").agg(F.count(F.lit(1)).alias("_rows"))
-    accuracy, dependence = {}, {}
+    folder = f"{shared_folder(claims.sparkSession)}/votes-{uuid.uuid4().hex}"
+    votes.write.parquet(folder)
+    return claims.sparkSession.read.parquet(folder)
+
+
+def settled(votes: DataFrame, rounds: int = ROUNDS) -> tuple[State, State]:
+    """The accuracies and dependence to believe values by, and those estimated from these beliefs, which differ little."""
+    shapes = cut_lineage(shapes_of(votes))
+    state: State = ({}, {})
     for _ in range(max(1, rounds)):
-        believed = cut_lineage(believed_values(votes, sizes, accuracy, dependence))
-        before, (accuracy, dependence) = accuracy, estimated(believed)
-        if all(abs(a - before.get(s, FIRST_ACCURACY)) < SETTLED for s, a in accuracy.items()):
+        before, state = state, estimated(shapes, *state)
+        if all(abs(a - before[0].get(s, FIRST_ACCURACY)) < SETTLED for s, a in state[0].items()):
             break
-    return believed, accuracy, dependence
+    return before, state
+
+
+def fuse(claims: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, dict[str, float], dict[tuple[str, str], float]]:
+    """``(votes with belief, accuracy by source, dependence by pair)`` from ``claims``; see :func:`claims_of`."""
+    votes = votes_of(claims)
+    before, (accuracy, dependence) = settled(votes, rounds)
+    return believed_values(votes, *before), accuracy, dependence
 
 
 def survivors(records: DataFrame, source_trust: DataFrame, unit_factors: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -179,14 +255,10 @@ def survivors(records: DataFrame, source_trust: DataFrame, unit_factors: DataFra
     with no values keeps null fields. A record given twice counts once. An empty table gives an empty one. Groups are never
     gathered: votes are counted by group, field and value with map-side partial sums.
     """
-    rows = keyed_records(records, source_trust)
-    # lengths in metres, told by physical identities
-    metres = tile_units(records.where(F.col("record_id").isNotNull()), factors_of(unit_factors))
-    metres = metres.groupBy("record_id").agg(*[F.min(F.when(F.col("field_name") == f, F.col("base_value"))).alias(f"{f}_m") for f in ("ul_x", "pixel_width")])
-    believed, _, _ = fuse(claims_of(rows, metres), rounds)
-    best = F.struct("belief", (-F.col("rank")).alias("r"), "value")
-    chosen = believed.groupBy("tile", "field").agg(F.max_by("shown", best).alias("shown"), F.max("belief").alias("belief"))
+    rows = keyed_records(records, source_trust, unit_factors)
+    votes = votes_of(claims_of(rows))
+    chosen = chosen_values(votes, *settled(votes, rounds)[0])
     fused = chosen.groupBy("tile").agg(*[F.max(F.when(F.col("field") == f, F.col("shown"))).alias(f) for f in FUSED], F.avg("belief").alias("confidence"))
-    out = _best(rows).join(fused, "tile", "left")
+    out = _best(keyed_records(records, source_trust)).join(fused, "tile", "left")
     kinds = {"year": "int", "ul_x": "double", "pixel_width": "double"}
     return out.select("tile", "group_id", "best_id", "records", *[F.col(f).cast(kinds.get(f, "string")).alias(f) for f in FUSED], "confidence")

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import datetime
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridwright.llm import prose, survivor
+from gridwright.llm import prose, queries, survivor
 from gridwright.llm.holdout import DRAWN, HOLDOUT
 
 AT = [datetime.datetime(2026, 1, d) for d in range(1, 29)]
@@ -92,6 +94,45 @@ def test_many_sources(spark):
     assert got["KDR_001"].city == "Au" and got["KDR_001"].records == 60
 
 
+def test_found_records_are_fused_first(spark, tmp_path, monkeypatch):
+    rows = [record(5, city="Au"), record(6, city="Berg", source="b", at=3), record(7, city=None, at=9), record(20, "KDR_002"), record(30, "KDR_003", source="c"), record(31, "kdr-003", source="b")]
+    tables = {"real_tiles_metadata": (rows, SCHEMA), "source_trust": ([("a", 1), ("b", 2), ("c", 3)], "source string, trust_rank int"), "unit_factors": (FACTORS, "unit_code string, quantity string, base_unit string, factor double")}
+    for name, (content, schema) in tables.items():
+        spark.createDataFrame(content, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    estimates, copying = [], survivor.copying
+    monkeypatch.setattr(survivor, "copying", lambda *counts: estimates.append(counts) or copying(*counts))
+    assert sorted(map(tuple, queries.p4_found(spark, str(tmp_path)).collect())) == [(5, 5), (30, 31)]
+    assert estimates  # copies were looked for
+    chosen = survivor.chosen_values
+    monkeypatch.setattr(survivor, "chosen_values", lambda *given: chosen(*given).withColumn("belief", F.raise_error(F.lit("belief is read")).cast("double")))
+    with pytest.raises(Exception, match="belief is read"):  # the last step isn't left out either
+        queries.p4_found(spark, str(tmp_path)).collect()
+
+
+def test_estimates_and_choice_against_all_votes(spark):
+    rng = np.random.default_rng(5)
+    rows = [(str(t), 10 * t + k, AT[0], f"s{rng.integers(7)}", 1 + k, f, v, v) for t in range(60) for f in ("city", "year") for k in range(rng.integers(1, 7)) for v in [f"v{rng.integers(3)}"]]
+    votes = survivor.votes_of(spark.createDataFrame(rows, "tile string, record_id long, recorded_at timestamp_ntz, source string, rank long, field string, value string, shown string"))
+    before, (accuracy, dependence) = survivor.settled(votes, 3)
+    believed = survivor.believed_values(votes, *before).collect()
+    said, wrong, both, fields = {}, Counter(), Counter(), {}
+    for r in believed:
+        fields.setdefault((r.tile, r.field), []).append(r)
+        for s in r.sources:
+            said.setdefault(s, []).append(r.belief)
+        wrong.update(combinations(r.sources, 2) if r.belief < 0.5 else ())
+    for votes_of_field in fields.values():
+        both.update(combinations(sorted({s for r in votes_of_field if r.belief < 0.5 for s in r.sources}), 2))
+    assert {s: min(0.99, max(0.05, np.mean(b))) for s, b in said.items()} == pytest.approx(accuracy) and set(dependence) == set(both)
+    odds = lambda k: np.log(1 / 9) + wrong[k] * np.log(16.2) + max(0, both[k] - wrong[k]) * np.log(0.2)
+    assert {k: 1 / (1 + np.exp(-odds(k))) for k in both} == pytest.approx(dependence)
+    got = {(r.tile, r.field): r for r in survivor.chosen_values(votes, *before).collect()}
+    assert set(got) == set(fields)
+    for key, of in fields.items():
+        best = max(of, key=lambda r: (r.belief, -r.rank, r.value))
+        assert (got[key].shown, got[key].belief) == (best.shown, pytest.approx(best.belief))
+
+
 COMMON = [("de", w) for w in "der die das und in von zu ist nicht ein eine auf auch wie aus wo".split()] + [("en", w) for w in "the of and to in is was it with as on by are not but so".split()] + [("fr", w) for w in "la le de et ne pas que sur".split()] + [("pl", w) for w in "i w z na nie do jest bo".split()]
 
 
